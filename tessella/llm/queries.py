@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("topn", "grouping", "quantiles", "survivors")
+MODULES = ("topn", "grouping", "quantiles", "survivors", "tokens", "packing")
 
 
 def _gather(what: str) -> dict:
