@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("topn", "grouping", "quantiles", "survivors", "tokens", "packing", "mojibake")
+MODULES = ("topn", "grouping", "quantiles", "survivors", "tokens", "packing", "mojibake", "neardup")
 
 
 def _gather(what: str) -> dict:
