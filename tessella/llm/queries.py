@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("topn", "grouping", "names", "quantiles", "neardup", "survivors", "tokens", "packing", "mojibake")
+MODULES = ("linkage", "topn", "grouping", "names", "quantiles", "neardup", "survivors", "tokens", "packing", "mojibake")
 
 
 def _gather(what: str) -> dict:
