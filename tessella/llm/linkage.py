@@ -23,7 +23,7 @@ from tessella.staging import stage
 
 #: The votes and how many answers each has; 0 is always an abstention.
 VOTES = {"name": 4, "alone": 3, "org": 3, "place": 3, "role": 3, "phone": 4, "handle": 3}
-#: Posterior from which a pair is linked, and from which two links to a third record support one in doubt.
+#: Posterior from which a pair is linked; and, where both are linked to a third record with ``SUPPORT``, from which one in doubt is.
 LINK, SUPPORTED, SUPPORT = 0.5, 0.15, 0.9
 #: A telephone extension is a switchboard's if this share of all records has it.
 SHARED_PHONE = 1 / 1000
@@ -38,7 +38,8 @@ _HANDLES = ("address", "login", "handle")
 
 
 def _words(text: str | None) -> str:
-    return " ".join(re.findall(r"[a-z0-9]+", re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", fold(text))))
+    text = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", fold(text))
+    return " ".join(re.findall(r"[a-z0-9]+", re.sub(r"\.(?=[a-z])", "", text)))
 
 
 def _place(text: str | None) -> str:
@@ -55,6 +56,9 @@ def _same_words(a: str, b: str) -> int:
     x, y = a.split(), b.split()
     if len(x) == len(y) and all(p == q or (len(min(p, q, key=len)) == 2 and (shortened(p + "_", q) or (p[0] == q[0] and (set(p) <= set(q) or set(q) <= set(p))))) or firm_cost([p], [q]) <= 2 for p, q in zip(x, y, strict=True)):
         return 2
+    initials = lambda w: "".join(p[0] for p in w)
+    if len(x) > 2 and initials(x) in y or len(y) > 2 and initials(y) in x:
+        return 2
     return 2 if min(firm_cost(x, y), firm_cost(y, x)) <= 2.5 else 1
 
 
@@ -111,10 +115,12 @@ def records(people: DataFrame) -> DataFrame:
     return kept.mapInPandas(run, "id string, system string, spelled string, org string, place string, role string, phones string, handles string")
 
 
-def _oriented(words: list[str], common: set[str]) -> tuple[str, str]:
-    """First and family name; turned where the last word is a first name in its own right and the first isn't."""
+def _orders(words: list[str], common: set[str]) -> list[tuple[str, str]]:
+    """First and family name; both ways where the first word isn't known as a first name."""
     first, family = words[0], words[-1]
-    return (family, first) if family in common and first not in common else (first, family)
+    if first in common:
+        return [(first, family)]
+    return [(family, first)] if family in common else [(first, family), (family, first)]
 
 
 def candidates(nodes: DataFrame, first_names) -> DataFrame:
@@ -137,11 +143,12 @@ def candidates(nodes: DataFrame, first_names) -> DataFrame:
                 if len(words) < 2:
                     found = {f"n|{words[0]}"}
                 else:
-                    first, family = _oriented(words, names.common)
-                    initials = {x[0] for f in (first, *aside) for x in (f, *other.get(f, ()))}
-                    found = {f"f|{v}|{c}" for v in _variants(family) for c in initials}
-                    found |= {f"o|{first}|{org}|{family[0]}"} if org else set()
-                    found |= {f"p|{first}|{place}|{family[0]}"} if place else set()
+                    found = set()
+                    for first, family in _orders(words, names.common):
+                        initials = {x[0] for f in (first, *aside) for x in (f, *other.get(f, ()))}
+                        found |= {f"f|{v}|{c}" for v in _variants(family) for c in initials}
+                        found |= {f"o|{first}|{org}|{family[0]}"} if org else set()
+                        found |= {f"p|{first}|{place}|{family[0]}"} if place else set()
                 rows += [i] * len(found)
                 keys += sorted(found)
             yield b.iloc[rows][["node", "system"]].assign(key=keys)
@@ -232,7 +239,8 @@ def link_records(people: DataFrame) -> DataFrame:
 
     Objects that are alike in all attributes and system are one node, so a third of all rows being copies costs
     no pairs among the copies. The driver gets the counts of vote combinations, at most the product of ``VOTES``, and sends back
-    their posteriors; nothing else leaves the executors. Pairs in doubt are linked where both are surely one person with a third.
+    their posteriors; nothing else leaves the executors. A pair in doubt, or that shared no key, is linked where both are surely one person
+    with a third, with the product of those confidences.
 
     Null and empty attributes and identifier lists abstain. Empty tables give an empty result.
     """
@@ -251,12 +259,15 @@ def link_records(people: DataFrame) -> DataFrame:
     model = LabelModel(counted[list(VOTES)].to_numpy(np.int64), counted["n"].to_numpy(np.float64))
     counted["confidence"] = model.posterior
     posterior = people.sparkSession.createDataFrame(counted[[*VOTES, "confidence"]], ", ".join(f"{v} int" for v in VOTES) + ", confidence double")
-    scored = stage(voted.join(F.broadcast(posterior), list(VOTES)).where(F.col("confidence") >= SUPPORTED).select("a", "b", "confidence"), "scored")
+    scored = stage(voted.join(F.broadcast(posterior), list(VOTES)).select("a", "b", "confidence"), "scored")
     sure = scored.where(F.col("confidence") >= SUPPORT)
-    third = sure.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(sure.select(F.col("b").alias("x"), F.col("a").alias("y")))
-    doubt = scored.where(F.col("confidence") < LINK)
-    backed = doubt.join(third.select(F.col("x").alias("a"), "y"), "a").join(third.select(F.col("x").alias("b"), F.col("y").alias("z")), "b").where("y = z").select("a", "b", "confidence").distinct()
-    linked = scored.where(F.col("confidence") >= LINK).unionByName(backed)
+    known = nodes.select("node", "system")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")
+    beside = sure.select(ends, "confidence").select("e.*", "confidence").join(known.withColumnRenamed("node", "y"), "y")
+    other = beside.select("x", F.col("y").alias("z"), F.col("confidence").alias("c2"), F.col("system").alias("s2"))
+    third = beside.join(other, "x").where("y < z AND system <> s2").groupBy(F.col("y").alias("a"), F.col("z").alias("b")).agg(F.max(F.col("confidence") * F.col("c2")).alias("through"))
+    backed = third.join(scored, ["a", "b"], "left").where(F.coalesce("confidence", "through") >= SUPPORTED).where(F.coalesce("confidence", F.lit(0.0)) < LINK).select("a", "b", "through")
+    linked = scored.where(F.col("confidence") >= LINK).unionByName(backed.withColumnRenamed("through", "confidence"))
     members = every.join(nodes, alike).select("node", "id")
     left, right = members.select(F.col("node").alias("a"), F.col("id").alias("i")), members.select(F.col("node").alias("b"), F.col("id").alias("j"))
     spread = linked.join(left, "a").join(right, "b")

@@ -20,9 +20,9 @@ NO_COMPANY = frozenset(("", "na", "none", "null", "nil", "unknown", "selfemploye
 #: Common short forms of first names, beside those that the data itself show.
 SHORT_FORMS = {
     "abigail": "abby gail", "alexander": "alex sandy sasha", "alexandra": "alex sandy sasha", "aleksandra": "ola sasha", "amelie": "amy", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny", "catherine": "cathy kate katie", "charles": "charlie chuck", "charlotte": "charlie lottie", "christopher": "chris kit", "daniel": "dan danny", "deborah": "debbie deb",
-    "dmitri": "dima mitya", "dorothy": "dot dottie", "edward": "ed eddie ned ted", "eleanor": "ellie nell nora", "elizabeth": "beth betty eliza liz lizzie", "francisco": "paco pancho", "frederick": "fred freddy", "gabriella": "gabby gabi", "gabriela": "gabby gabi", "giuseppe": "beppe pino", "gregory": "greg", "guadalupe": "lupe", "ignacio": "nacho", "isabel": "bel isa", "james": "jamie jim jimmy", "jennifer": "jen jenny",
+    "dmitri": "dima mitya", "dorothy": "dot dottie", "edward": "ed eddie ned ted", "eleanor": "ellie nell nora", "elizabeth": "beth betty eliza liz lizzie", "francisco": "paco pancho", "frederick": "fred freddy", "gabriella": "ella gabby gabi", "gabriela": "gabby gabi", "giuseppe": "beppe pino", "gregory": "greg", "guadalupe": "lupe", "ignacio": "nacho", "isabel": "bel isa", "james": "jamie jim jimmy", "jennifer": "jen jenny",
     "johannes": "hannes jo", "jonathan": "jon", "jose": "pepe", "joseph": "joe joey", "joshua": "josh", "katherine": "kate kathy katie", "konstantin": "kostya", "lorenzo": "renzo", "malgorzata": "gosia", "margaret": "maggie meg peggy", "matthew": "matt", "maximilian": "max", "michael": "mick mike", "natalia": "natasha", "nicholas": "nick nico", "patricia": "pat patty tricia", "patrick": "paddy pat", "philip": "phil", "rebecca": "becca becky",
-    "richard": "dick rick", "robert": "bob bobby rob", "roberto": "beto", "samuel": "sam", "sebastian": "basti bastian seb", "stephen": "steve", "steven": "steve", "susan": "sue susie", "tatiana": "tanya", "theodore": "ted theo", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky", "vladimir": "vova", "william": "bill billy will", "yevgeniya": "zhenya", "zoltan": "zoli",
+    "richard": "dick rick", "robert": "bob bobby rob", "roberto": "beto", "samuel": "sam", "sebastian": "basti bastian seb", "stephen": "steve", "steven": "steve", "susan": "sue susie", "tatiana": "tanya", "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky", "vladimir": "vova", "william": "bill billy will", "yevgeniya": "zhenya", "zoltan": "zoli",
 }
 
 
