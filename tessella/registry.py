@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("corpus",)
+MODULES: tuple[str, ...] = ("corpus", "resolution", "adjudication")
 
 
 def _gather(what: str) -> dict:
