@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("corpus", "resolution", "adjudication", "network", "search", "measures")
+MODULES: tuple[str, ...] = ("corpus", "resolution", "adjudication", "network", "search", "measures", "contexts")
 
 
 def _gather(what: str) -> dict:
