@@ -9,6 +9,7 @@ the restored run is likelier, under the same counts, than the run as it stands.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,7 +24,7 @@ PAIRS, SINGLES = 1 << 21, 1 << 16
 IMPROBABLE = -9.0
 #: Bits by which a restored text must be likelier: where the bytes are valid UTF-8, and where only one table was taken for another.
 MARGIN_UTF8, MARGIN_TABLE = 2.0, 8.0
-#: Times a character must have occurred for what follows it to count as known.
+#: Cases that a character's own share in the corpus counts for among those of what precedes it.
 UNSURE = 64
 #: Tables by which UTF-8 is read wrongly.
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859-2", "iso8859-15", "cp1254", "cp1253", "cp866", "koi8-r", "cp1257", "cp852", "cp775")
@@ -93,10 +94,10 @@ class Model:
 
     def __init__(self, pairs: np.ndarray, singles: np.ndarray) -> None:
         total = max(1, int(singles.sum()))
-        # what the corpus lacks is unlikely, not impossible; after a rare character everything is unlikely
+        self._pairs, self._singles, self._total = pairs, singles, total
+        # what the corpus lacks is unlikely, not impossible
         self.pair = np.log2((pairs + 0.5) / total).astype(np.float32)
         self.single = np.log2((singles + 1.0) / total).astype(np.float32)
-        self.before = np.log2((singles + float(UNSURE)) / total).astype(np.float32)
         self._bits: dict[str, float] = {}
         self.utf8: dict[str, str | None] = {}
         self.gains: dict[str, np.ndarray] = {}
@@ -106,11 +107,15 @@ class Model:
         return IMPROBABLE - (2 * self.pair[_pair_keys(a, b)] - self.single[_single_keys(a)] - self.single[_single_keys(b)])
 
     def bits(self, two: str) -> float:
-        """log p of the second character after the first."""
+        """log p of the second character after the first; what follows a rare one is as likely as it is anywhere."""
         found = self._bits.get(two)
         if found is None:
             codes = _codes(two)
-            found = self._bits[two] = float(self.pair[_pair_keys(codes[:1], codes[1:])[0]] - self.before[_single_keys(codes[:1])[0]])
+            after = (self._singles[_single_keys(codes[1:])[0]] + 0.5) / self._total
+            n = self._pairs[_pair_keys(codes[:1], codes[1:])[0]] + UNSURE * after
+            if len(self._bits) > MEMO:
+                self._bits.clear()
+            found = self._bits[two] = math.log2(n / (self._singles[_single_keys(codes[:1])[0]] + UNSURE))
         return found
 
     def likelihood(self, text: str) -> float:

@@ -133,7 +133,7 @@ def same_person(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]],
     best = 0.0
     for la, fa in ((wa[-1], wa[0]), (wa[0], wa[-1])):
         for lb, fb in ((wb[-1], wb[0]), (wb[0], wb[-1])):
-            if len(la) < 3 or len(lb) < 3:
+            if len(la) < 3 or len(lb) < 3 or (la != lb and (la in first_names.common or lb in first_names.common)):
                 continue
             d = distance(la, lb, 2)
             if d > min(typo_room(la), typo_room(lb)):
