@@ -10,7 +10,10 @@ def json_string(x: Column) -> Column:
     """A string as a JSON literal, null as ``null``; control characters escape in lower case."""
     escaped = F.to_json(F.struct(x.alias("v")))
     literal = F.regexp_extract(escaped, r'(?s)^\{"v":(.*)\}$', 1)
-    return F.when(x.isNull(), F.lit("null")).otherwise(literal)
+    lower = literal
+    for digit in "ABCDEF":  # not behind a backslash of its own
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*\\u00[01]){digit}", f"$1{digit.lower()}")
+    return F.when(x.isNull(), F.lit("null")).when(x.rlike(r"[\x00-\x1f]"), lower).otherwise(literal)
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:

@@ -83,7 +83,7 @@ def seconds(value: Column, unit: Column) -> Column:
 
 def fact_key(kind: Column, number: Column, unit: Column, values: Column) -> Column:
     """The key under which two facts are the same: durations in seconds, texts collapsed, sets in order."""
-    numeric = F.format_number(F.when(kind == "duration", seconds(number, unit)).otherwise(number + F.lit(0.0)), "0.######")
+    numeric = F.call_function("format_number", F.when(kind == "duration", seconds(number, unit)).otherwise(number + F.lit(0.0)), F.lit("0.######"))
     return F.concat_ws(":", kind, F.when(kind.isin("duration", "number", "percentage"), numeric).otherwise(F.array_join(F.array_sort(F.array_distinct(F.transform(values, collapsed))), "|")))
 
 
@@ -101,7 +101,7 @@ def unwrapped_json(x: Column) -> Column:
     """A model's reply without its thinking, code fence and trailing commas."""
     plain = F.regexp_replace(x, r"(?s)<think>.*?</think>", "")
     fenced = F.regexp_extract(plain, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.regexp_replace(F.trim(F.when(fenced != "", fenced).otherwise(plain)), r",\s*([}\]])", "$1")
+    return F.regexp_replace(F.regexp_replace(F.when(fenced != "", fenced).otherwise(plain), r"^\s+|\s+$", ""), r",\s*([}\]])", "$1")
 
 
 @F.pandas_udf(T.StringType())

@@ -29,9 +29,9 @@ def cell_counts(clusters: DataFrame, item: str, cluster: str, truth: str) -> Dat
 def b_cubed(cells: DataFrame, cluster: str, truth: str) -> DataFrame:
     """precision, recall, f1 averaged over items, from cell counts: sum n^2 / |cluster| and sum n^2 / |class|."""
     sizes = lambda k, name: cells.groupBy(k).agg(F.sum("n").alias(name))
-    joined = cells.join(sizes(cluster, "c"), cluster).join(sizes(truth, "t"), truth)
+    joined = cells.join(sizes(cluster, "__c"), cluster).join(sizes(truth, "__t"), truth)
     square = F.col("n").cast("double") * F.col("n")
-    total = joined.agg(F.sum("n").alias("items"), F.sum(square / F.col("c")).alias("p"), F.sum(square / F.col("t")).alias("r"))
+    total = joined.agg(F.sum("n").alias("items"), F.sum(square / F.col("__c")).alias("p"), F.sum(square / F.col("__t")).alias("r"))
     out = total.select("items", ratio(F.col("p"), F.col("items")).alias("precision"), ratio(F.col("r"), F.col("items")).alias("recall"))
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
