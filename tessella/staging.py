@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_written: list[Staged] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +33,11 @@ class Staged:
         self.path = f"{shared_dir(self._spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
+        _written.append(self)
 
     def drop(self) -> None:
+        if self in _written:
+            _written.remove(self)
         jvm = self._spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -42,3 +46,9 @@ class Staged:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to shared storage and returns it read back, with its lineage cut."""
     return Staged(df, label).df
+
+
+def clear() -> None:
+    """Removes all tables that this process staged and that are still there; for when their results are written."""
+    for one in list(_written):
+        one.drop()

@@ -221,3 +221,15 @@ def test_coverage_gaps(spark):
     need = spark.createDataFrame([("a", "t", "p"), ("b", "t", "p"), ("c", "t", "p"), ("d", "t", "p"), ("e", "t", "p")], "system string, object_type string, predicate string")
     have = spark.createDataFrame([("a", "t", "complete", ["p"]), ("b", "t", "failed", []), ("c", "t", "partial", ["p"]), ("d", "t", "complete", ["q"])], "system string, object_type string, status string, predicates array<string>")
     assert rows(alignment.coverage_gaps(need, have).select("system", "gap")) == [("a", None), ("b", "ingestion_failed"), ("c", "ingestion_incomplete"), ("d", "predicate_not_examined"), ("e", "slice_missing")]
+
+
+def test_staged_tables_can_be_cleared(spark):
+    import os
+
+    from tessella import staging
+
+    one = staging.Staged(spark.range(5).toDF("x"), "t")
+    path = one.path.removeprefix("file://")
+    assert one.df.count() == 5 and os.path.isdir(path)
+    staging.clear()
+    assert not os.path.exists(path) and not staging._written
