@@ -248,8 +248,9 @@ def link_records(people: DataFrame) -> DataFrame:
     alike = ["system", "spelled", "org", "place", "role", "phones", "handles"]
     every = stage(records(people), "records")
     named = every.groupBy(*alike).agg(F.min("id").alias("node"))
-    namesakes = F.count(F.lit(1)).over(Window.partitionBy("system", "spelled"))
-    nodes = stage(named.withColumn("same_name", namesakes), "nodes")
+    alone = stage(named, "alone")
+    namesakes = alone.groupBy("system", "spelled").agg(F.count(F.lit(1)).alias("same_name"))
+    nodes = stage(alone.join(namesakes, ["system", "spelled"]), "nodes")
     first_names = sc.broadcast(learn_first_names(nodes))
     total = nodes.count()
     often = nodes.select(F.explode(F.split("phones", " ")).alias("p")).where("p <> ''").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(max(20.0, total * SHARED_PHONE)))

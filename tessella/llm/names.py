@@ -28,7 +28,7 @@ GRAMS = len(_ALPHABET) ** 3
 #: Cosine that two spellings must reach, of persons and of firms, and average similarity of a cluster.
 PERSON_COSINE, FIRM_COSINE, LINKAGE = 0.25, 0.25, 0.2
 #: A first name is one in its own right if this share of all names bears it; a short form, if this share shows it.
-COMMON_SHARE, SHORT_SHARE, LEAST_COUNT = 1 / 2000, 1 / 20000, 3
+COMMON_SHARE, SHORT_SHARE, LEAST_COUNT = 1 / 10000, 1 / 20000, 3
 #: Cost up to which a firm's words are the listed ones.
 FIRM_COST = 2.5
 
@@ -172,13 +172,8 @@ def _pairs(clusters: DataFrame) -> DataFrame:
     return a.join(b, "cluster").where("left < right").select("left", "right").distinct()
 
 
-def link_firms(typed: DataFrame, company: str, listed: DataFrame, key: str, listed_name: str, threshold: float = FIRM_COSINE) -> DataFrame:
-    """typed, key: of every company as typed, the one listed firm it means, however it is written.
-
-    A firm is meant where its words (shortened, run together, reordered or with slips, or their first letters) are
-    those typed at the least cost, and no other's at the same; legal forms break ties. Null and empty companies and
-    words that stand for none mean nothing.
-    """
+def _parsed_firms(firms: DataFrame, columns: str) -> DataFrame:
+    """``columns`` (among them ``typed``), core (the words), legal (the form) and whole (words, initials, words together) of real firms."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -188,12 +183,20 @@ def link_firms(typed: DataFrame, company: str, listed: DataFrame, key: str, list
             b["whole"] = [f"{c} {''.join(w[0] for w in c.split())} {c.replace(' ', '')}" if " " in c else c for c in b["core"]]
             yield b[[c != "" and c.replace(" ", "") not in NO_COMPANY for c in b["core"]]]
 
-    more = "core string, legal string, whole string"
-    firms = typed.where(F.col(company).isNotNull()).select(F.col(company).alias("typed")).distinct().mapInPandas(parse, f"typed string, {more}")
-    firms = stage(firms, "firms")
+    return firms.mapInPandas(parse, f"{columns}, core string, legal string, whole string")
+
+
+def link_firms(typed: DataFrame, company: str, listed: DataFrame, key: str, listed_name: str, threshold: float = FIRM_COSINE) -> DataFrame:
+    """typed, key, firm: of every company as typed, the one listed firm it means, and a name that all spellings of one firm share.
+
+    A firm is meant where its words (shortened, run together, reordered or with slips, or their first letters) are
+    those typed at the least cost, and no other's at the same; legal forms break ties. ``key`` is null where no listed firm
+    is meant; such spellings are clustered among themselves. Null and empty companies and words that stand for none have no row.
+    """
+    firms = stage(_parsed_firms(typed.where(F.col(company).isNotNull()).select(F.col(company).alias("typed")).distinct(), "typed string"), "firms")
     known = listed.where(F.col(listed_name).isNotNull() & F.col(key).isNotNull()).select(F.col(listed_name).alias("typed"), F.col(key).alias("key")).distinct()
     key_kind = dict(known.dtypes)["key"]
-    known = stage(known.mapInPandas(parse, f"typed string, key {key_kind}, {more}").drop("typed"), "listed")
+    known = stage(_parsed_firms(known, f"typed string, key {key_kind}").drop("typed"), "listed")
     weights = typed.sparkSession.sparkContext.broadcast(gram_weights(known.select("whole").unionByName(firms.select("whole")), "whole"))
     ours = _postings(firms, ["typed", "core", "legal"], "whole", weights, threshold)
     theirs = _postings(known, ["key", "core", "legal", "whole"], "whole", weights, 0.0).select("key", "gram", F.col("core").alias("core2"), F.col("legal").alias("legal2"))
@@ -203,33 +206,46 @@ def link_firms(typed: DataFrame, company: str, listed: DataFrame, key: str, list
         for b in batches:
             costs = []
             for c, g, c2, g2 in zip(b["core"], b["legal"], b["core2"], b["legal2"], strict=True):
-                cost = firm_cost(c.split(), c2.split())
-                # a firm's own word may be off by two only if everything else agrees
-                costs.append(cost + 0.3 * (g != "" and g != g2) + 0.1 * (g == ""))
+                costs.append(firm_cost(c.split(), c2.split()) + 0.3 * (g != "" and g != g2) + 0.1 * (g == ""))
             b["cost"] = costs
             yield b[b["cost"] <= FIRM_COST][["typed", "key", "cost"]]
 
     close = pairs.mapInPandas(score, f"typed string, key {key_kind}, cost double")
     best = Window.partitionBy("typed").orderBy("cost", "key")
     ranked = close.withColumn("r", F.row_number().over(best)).withColumn("next", F.lead("cost").over(best))
-    return ranked.where((F.col("r") == 1) & (F.col("next").isNull() | (F.col("next") > F.col("cost") + 1e-9))).select("typed", "key")
+    meant = stage(ranked.where((F.col("r") == 1) & (F.col("next").isNull() | (F.col("next") > F.col("cost") + 1e-9))).select("typed", "key"), "meant")
+    others = stage(firms.join(meant, "typed", "left_anti"), "unlisted")
+    named = _cluster_firms(others, weights, threshold)
+    listed_ones = meant.select("typed", "key", F.concat(F.lit("listed:"), F.col("key").cast("string")).alias("firm"))
+    return listed_ones.unionByName(named.select("typed", F.lit(None).cast(key_kind).alias("key"), F.concat(F.lit("typed:"), "firm").alias("firm")))
+
 
+def _cluster_firms(firms: DataFrame, weights: Broadcast, threshold: float) -> DataFrame:
+    """typed, firm (the least words of the cluster) of parsed firms."""
+    cores = firms.select("core").distinct()
+    posted = _postings(cores, ["core"], "core", weights, threshold)
+    pairs = posted.join(posted.withColumnRenamed("core", "other"), "gram").where("core < other").select("core", "other").distinct()
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            costs = [min(firm_cost(x.split(), y.split()), firm_cost(y.split(), x.split())) for x, y in zip(b["core"], b["other"], strict=True)]
+            near = b[[c <= FIRM_COST - 1 for c in costs]].copy()
+            near["similarity"] = [max(threshold, cosine(x, y, weights.value)) for x, y in zip(near["core"], near["other"], strict=True)]
+            yield near
 
-def _firm_key(company):
-    """A typed company that no list has: letters and digits of it."""
-    return F.concat(F.lit("typed:"), F.regexp_replace(F.lower(company), "[^\\p{L}\\p{N}]", ""))
+    edges = stage(pairs.mapInPandas(score, "core string, other string, similarity double").toDF("a", "b", "similarity"), "firm_pairs")
+    clusters = average_linkage(edges, LINKAGE)
+    return firms.join(clusters, firms["core"] == clusters["node"], "left").select("typed", F.coalesce("cluster", "core").alias("firm"))
 
 
 def p4_found(spark, d: str) -> DataFrame:
     """Records of one person or firm: kind, left_key, right_key."""
     employees, customers, listed = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("herb_employee", "herb_customer", "org_reference"))
     people = _pairs(link_names(employees, "employee_id", "name", "org")).select(F.lit("employee").alias("kind"), F.col("left").alias("left_key"), F.col("right").alias("right_key"))
-    firms = stage(link_firms(customers, "company", listed, "org_id", "company"), "meant")
-    of_firm = customers.join(firms, customers["company"] == firms["typed"], "left").select("id", "name", customers["company"], "key")
+    firms = link_firms(customers, "company", listed, "org_id", "company")
+    placed = stage(customers.join(firms, customers["company"] == firms["typed"]).select("id", "name", customers["company"], "key", "firm"), "placed")
     exact = listed.select(F.col("org_id").alias("key"), F.col("company").alias("exact")).distinct()
-    written = of_firm.where("key IS NOT NULL").join(exact, "key").where("company <> exact").select(F.lit("company").alias("kind"), F.col("id").alias("left_key"), F.col("key").alias("right_key"))
-    none = F.regexp_replace(F.lower("company"), "[^a-z]", "").isin(*NO_COMPANY) & F.lower("company").rlike("^[ -~]*$")
-    placed = of_firm.withColumn("firm", F.when(F.col("key").isNotNull(), F.col("key")).when(~none, _firm_key(F.col("company"))))
+    written = placed.where("key IS NOT NULL AND id IS NOT NULL").join(exact, "key").where("company <> exact").select(F.lit("company").alias("kind"), F.col("id").alias("left_key"), F.col("key").alias("right_key"))
     clients = _pairs(link_names(placed, "id", "name", "firm")).select(F.lit("customer").alias("kind"), F.col("left").alias("left_key"), F.col("right").alias("right_key"))
     return people.unionByName(clients).unionByName(written).distinct()
 

@@ -20,12 +20,20 @@ NO_COMPANY = frozenset(("", "na", "none", "null", "nil", "unknown", "selfemploye
 #: Common short forms of first names, beside those that the data itself show.
 SHORT_FORMS = {
     "abigail": "abby gail", "alexander": "alex sandy sasha", "alexandra": "alex sandy sasha", "aleksandra": "ola sasha", "amelie": "amy", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny", "catherine": "cathy kate katie", "charles": "charlie chuck", "charlotte": "charlie lottie", "christopher": "chris kit", "daniel": "dan danny", "deborah": "debbie deb",
-    "dmitri": "dima mitya", "dorothy": "dot dottie", "edward": "ed eddie ned ted", "eleanor": "ellie nell nora", "elizabeth": "beth betty eliza liz lizzie", "francisco": "paco pancho", "frederick": "fred freddy", "gabriella": "ella gabby gabi", "gabriela": "gabby gabi", "giuseppe": "beppe pino", "gregory": "greg", "guadalupe": "lupe", "ignacio": "nacho", "isabel": "bel isa", "james": "jamie jim jimmy", "jennifer": "jen jenny",
+    "dmitri": "dima mitya", "dorothy": "dot dottie", "edward": "ed eddie ned ted", "eleanor": "ellie nell nora", "elizabeth": "beth betty eliza liz lizzie", "francisco": "paco pancho", "frederick": "fred freddy", "gabriella": "ella gabby gabi", "gabriela": "gabby gabi gabriella", "giuseppe": "beppe pino", "gregory": "greg", "guadalupe": "lupe", "ignacio": "nacho", "isabel": "bel isa", "james": "jamie jim jimmy", "jennifer": "jen jenny",
     "johannes": "hannes jo", "jonathan": "jon", "jose": "pepe", "joseph": "joe joey", "joshua": "josh", "katherine": "kate kathy katie", "konstantin": "kostya", "lorenzo": "renzo", "malgorzata": "gosia", "margaret": "maggie meg peggy", "matthew": "matt", "maximilian": "max", "michael": "mick mike", "natalia": "natasha", "nicholas": "nick nico", "patricia": "pat patty tricia", "patrick": "paddy pat", "philip": "phil", "rebecca": "becca becky",
     "richard": "dick rick", "robert": "bob bobby rob", "roberto": "beto", "samuel": "sam", "sebastian": "basti bastian seb", "stephen": "steve", "steven": "steve", "susan": "sue susie", "tatiana": "tanya", "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky", "vladimir": "vova", "william": "bill billy will", "yevgeniya": "zhenya", "zoltan": "zoli",
 }
 
 
+#: First names that differ by a letter or two from that of a brother or sister, and are no slips.
+SIBLINGS = frozenset(
+    "adrian adriana alexander alexandra andre andrea andreas anton antonia antonio carl carla carlo carlos christian christina christine claude claudia claudio daniel daniela dominic dominica emil emilia emily eric erica fernanda fernando frances francesca francesco francis francisca francisco gabriel gabriela "
+    "gabriella george georgia giovanna giovanni ivan ivana jan jana jean jeanne joan joanna johan johanna joseph josephine julia julian juliana julius justin justina leon leona louis louisa louise luca lucas lucia lucian luis luisa marcel marcella marcus maria marie marin marina mario martin martina michael michaela "
+    "michel michelle nicola nicole nikola oliver olivia patricia patrick paul paula paulina pavel pavla peter petra philip philippa robert roberta roberto roman romana silvia silvio simon simona simone stefan stefania stephan stephanie stephen thomas valentin valentina victor victoria viktor viktoria vincent vincenza yves yvette".split()
+)
+
+
 def fold(text: str | None) -> str:
     """Lower case, marks off; other letters than a-z stand for one of them, so that all names share one small alphabet."""
     if not text:
@@ -100,7 +108,7 @@ class FirstNames:
     """
 
     def __init__(self, common: set[str], pairs: set[tuple[str, str]]) -> None:
-        self.common = common
+        self.common = common | SIBLINGS
         self.short: set[tuple[str, str]] = set(pairs) | {(b, a) for a, b in pairs}
         for full, shorts in SHORT_FORMS.items():
             for s in shorts.split():

@@ -85,9 +85,11 @@ def test_linking_names_in_blocks(spark):
 
 def test_linking_firms(spark):
     listed = spark.createDataFrame([("o1", "Casema Energy Retail & Co. KG"), ("o2", "Casuvo Data Centers AB"), ("o3", "Corovo Data Centers AB"), ("o4", None)], "org string, firm string")
-    typed = ["CasemaEnergyRetail", "CDC", "n/a", "", None, "Casuvo Data Cntrs", "Casema Cold Storage", "Casema Energy Retail & Co. KG"]
+    typed = ["CasemaEnergyRetail", "CDC", "n/a", "", None, "Casuvo Data Cntrs", "Casema Cold Storage", "The Casema Cold Storage GmbH", "Casema Energy Retail & Co. KG"]
     got = names.link_firms(spark.createDataFrame([(t,) for t in typed], "c string"), "c", listed, "org", "firm")
-    assert sorted((r["typed"], r["key"]) for r in got.collect()) == [("Casema Energy Retail & Co. KG", "o1"), ("CasemaEnergyRetail", "o1"), ("Casuvo Data Cntrs", "o2")]
+    by = {r["typed"]: (r["key"], r["firm"]) for r in got.collect()}
+    assert {t: k for t, (k, _) in by.items()} == {"Casema Energy Retail & Co. KG": "o1", "CasemaEnergyRetail": "o1", "Casuvo Data Cntrs": "o2", "CDC": None, "Casema Cold Storage": None, "The Casema Cold Storage GmbH": None}
+    assert by["Casema Cold Storage"][1] == by["The Casema Cold Storage GmbH"][1] != by["CDC"][1]
     assert names.link_firms(spark.createDataFrame([], "c string"), "c", listed, "org", "firm").count() == 0
 
 
