@@ -71,7 +71,8 @@ def duplicate_pairs(objects: DataFrame, item: str, kind: str, native: str, diges
     """left, right, class of pairs that are exact (digest), version_candidate (native id) or near (kind and collapsed content).
 
     Pairs meet by equality only; of several classes the first counts. Equal contents are chained to the least item of
-    their class, (least, other), so that a class costs its rows and not its pairs.
+    their class, (least, other), so that a class costs its rows and not its pairs. So are the objects of a native id, which
+    aren't copies: ``version_links`` has the links of its payloads, all of them.
     """
     base = objects.select(F.col(item).alias("id"), F.col(kind).alias("kind"), F.col(native).alias("native"), F.col(digest).alias("digest"), F.md5(collapsed(F.col(content))).alias("body"))
     kinds = [("exact", 1, ["digest"]), ("version_candidate", 2, ["native"]), ("near", 3, ["kind", "body"])]
@@ -84,6 +85,28 @@ def duplicate_pairs(objects: DataFrame, item: str, kind: str, native: str, diges
     return every.groupBy("left", "right").agg(F.min_by("class", "o").alias("class"))
 
 
+def payload_members(objects: DataFrame, system: str, kind: str, native: str, digest: str, item: str) -> DataFrame:
+    """system, kind, native, digest, item and ``representative``, the least item with the same payload under the same native id.
+
+    A row an object that has all of the four; what holds for a representative in ``version_links`` holds for its copies.
+    """
+    keys = list(dict.fromkeys([system, kind, native, digest]))
+    have = objects.select(*keys, item).dropna(subset=keys)
+    return have.join(have.groupBy(*keys).agg(F.min(item).alias("representative")), keys)
+
+
+def version_links(objects: DataFrame, system: str, kind: str, native: str, digest: str, item: str) -> DataFrame:
+    """system, kind, native, left, right: every two different payloads of one native id of a system and kind, as their representatives.
+
+    Copies of a payload are one (``payload_members`` tells them), versions are not: n payloads have n (n - 1) / 2 links.
+    """
+    same = list(dict.fromkeys([system, kind, native]))
+    each = objects.dropna(subset=[*same, digest]).groupBy(*same, digest).agg(F.min(item).alias("i"))
+    side = lambda x: each.select(*same, F.col(digest).alias(f"{x}_digest"), F.col("i").alias(f"{x}_i"))
+    pairs = side("l").join(side("r"), same).where("l_digest < r_digest")
+    return pairs.select(*same, F.least("l_i", "r_i").alias("left"), F.greatest("l_i", "r_i").alias("right"))
+
+
 def once(df: DataFrame, keys: list[str], best_first: list[Column]) -> DataFrame:
     """The first row of each key in an order that tells rows apart."""
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*best_first))).where("__k = 1").drop("__k")

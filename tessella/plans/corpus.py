@@ -66,6 +66,15 @@ def duplicate_classes(spark, d):
     return intake.duplicate_pairs(table(spark, d, "documents"), "source_object_id", "source_type", "source_native_id", "payload_digest", "text")
 
 
+def version_links(spark, d):
+    """All links between the payloads of a native id; ``source_type`` is both the system and the type of a document."""
+    return intake.version_links(table(spark, d, "documents"), "source_type", "source_type", "source_native_id", "payload_digest", "source_object_id")
+
+
+def payload_members(spark, d):
+    return intake.payload_members(table(spark, d, "documents"), "source_type", "source_type", "source_native_id", "payload_digest", "source_object_id").select("source_object_id", "representative")
+
+
 def latest_versions(spark, d):
     order = [F.col("observed_at").desc_nulls_last(), F.col("source_object_id").asc()]
     return intake.once(table(spark, d, "documents").where("source_native_id IS NOT NULL"), ["source_type", "source_native_id"], order).select("source_type", "source_native_id", "source_object_id")
@@ -107,7 +116,7 @@ def salted_choice(spark, d):
     return c.withColumn("place", r).where("place <= 3").select("source_type", "source_object_id", "place")
 
 
-QUERIES = {f.__name__: f for f in (stable_ids, normalized_objects, reject_invalid_records, coverage_slices, ingestion_ledger, acquired_documents, source_versions, repeated_texts, corpus_counts, duplicate_classes, latest_versions, question_terms, text_facts, claim_slugs, event_fields, sampled_documents, salted_choice)}
+QUERIES = {f.__name__: f for f in (stable_ids, normalized_objects, reject_invalid_records, coverage_slices, ingestion_ledger, acquired_documents, source_versions, repeated_texts, corpus_counts, duplicate_classes, version_links, payload_members, latest_versions, question_terms, text_facts, claim_slugs, event_fields, sampled_documents, salted_choice)}
 
 _JSON = "CASE WHEN {x} IS NULL THEN 'null' ELSE CAST(to_json({x}) AS VARCHAR) END"
 _OK = "length(source_native_id) > 0 AND length(source_object_id) > 0"
@@ -162,6 +171,9 @@ SQL = {
     "corpus_counts": """SELECT source_type, count(*) AS documents, count(DISTINCT source) AS containers, count(DISTINCT CASE WHEN source IS NOT NULL AND lang IS NOT NULL THEN (source, lang) END) AS container_languages,
       count(*) FILTER (WHERE text IS NULL) AS null_text, count(*) FILTER (WHERE lang IS NULL) AS null_lang, count(*) FILTER (WHERE title IS NULL) AS null_title, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source_type""",
     "duplicate_classes": _DUPLICATES,
+    "version_links": """WITH p AS (SELECT source_type, source_native_id, payload_digest, min(source_object_id) AS id FROM documents WHERE source_type IS NOT NULL AND source_native_id IS NOT NULL AND payload_digest IS NOT NULL GROUP BY ALL)
+      SELECT l.source_type, l.source_native_id, least(l.id, r.id) AS "left", greatest(l.id, r.id) AS "right" FROM p l JOIN p r ON l.source_type = r.source_type AND l.source_native_id = r.source_native_id AND l.payload_digest < r.payload_digest""",
+    "payload_members": "SELECT source_object_id, min(source_object_id) OVER (PARTITION BY source_type, source_native_id, payload_digest) AS representative FROM documents WHERE source_type IS NOT NULL AND source_native_id IS NOT NULL AND payload_digest IS NOT NULL",
     "latest_versions": "SELECT source_type, source_native_id, first(source_object_id ORDER BY observed_at DESC NULLS LAST, source_object_id) AS source_object_id FROM documents WHERE source_native_id IS NOT NULL GROUP BY ALL",
     "question_terms": _TERMS,
     "text_facts": f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '([0-9]+(?:\\.[0-9]+)?) ?%', 1) AS p, regexp_extract_all(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS ds, {_ANCHORS.format(x="coalesce(text, '')")} AS a FROM documents)

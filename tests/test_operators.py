@@ -52,6 +52,16 @@ def test_versions_and_duplicates(spark):
     assert intake.version_groups(df.where("false"), "sys", "nat", "dig", "id").count() == 0
 
 
+def test_all_payloads_of_a_native_id_are_linked(spark):
+    x = [("s", "k", "n", "d1", "i1"), ("s", "k", "n", "d1", "i4"), ("s", "k", "n", "d2", "i3"), ("s", "k", "n", "d3", "i2"), ("t", "k", "n", "d4", "i0"), ("s", "j", "n", "d5", "i5"), ("s", "k", None, "d6", "i6"), ("s", "k", "n", None, "i7")]
+    df = spark.createDataFrame(x, "sys string, kind string, nat string, dig string, id string")
+    links = intake.version_links(df, "sys", "kind", "nat", "dig", "id")
+    assert rows(links.select("left", "right")) == [("i1", "i2"), ("i1", "i3"), ("i2", "i3")]
+    members = intake.payload_members(df, "sys", "kind", "nat", "dig", "id")
+    assert rows(members.select("id", "representative")) == [("i0", "i0"), ("i1", "i1"), ("i2", "i2"), ("i3", "i3"), ("i4", "i1"), ("i5", "i5")]
+    assert intake.version_links(df.where("false"), "sys", "kind", "nat", "dig", "id").count() == 0
+
+
 def test_reasons_and_acquisition(spark):
     df = spark.createDataFrame([("a", "x"), ("", "x"), ("a", None)], "p string, q string")
     assert [r[0] for r in df.select(intake.rejected_for([("p", intake.required("p")), ("q", intake.required("q"))])).collect()] == [None, "p", "q"]
