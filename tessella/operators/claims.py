@@ -59,18 +59,29 @@ def relation(left: str = "l", right: str = "r") -> Column:
     return F.when(same & (at(left, "source") == at(right, "source")), "equivalent").when(same, "corroboration").when(F.coalesce(over, F.lit(False)), "supersession").otherwise("contradiction")
 
 
+def _paired(claims: DataFrame, group: list[str]) -> DataFrame:
+    fields = ["claim", "value", "source", "system", "observed", "valid_from", "valid_to"]
+    side = lambda x: claims.select(*group, *(F.col(f).alias(f"{x}_{f}") for f in fields))
+    pairs = side("l").join(side("r"), group).where("l_claim < r_claim AND l_system <> r_system AND NOT (l_value <=> r_value)")
+    return pairs.withColumn("relation", relation())
+
+
 def conflicts(claims: DataFrame, group: list[str]) -> DataFrame:
     """Pairs of different values of a group, by different systems: group, l_/r_ columns and relation.
 
     Values meet, not rows: of each value of a system in the group its last claim stands for it, so a group pairs as many rows as it
-    has different values.
+    has different values. The others may have another source and validity, and so another relation: ``conflict_pairs`` has them all.
     """
     best = Window.partitionBy(*group, "value", "system").orderBy(F.col("observed").desc_nulls_last(), F.col("claim").asc())
-    kept = claims.withColumn("__k", F.row_number().over(best)).where("__k = 1")
-    fields = ["claim", "value", "source", "system", "observed", "valid_from", "valid_to"]
-    side = lambda x: kept.select(*group, *(F.col(f).alias(f"{x}_{f}") for f in fields))
-    pairs = side("l").join(side("r"), group).where("l_claim < r_claim AND l_system <> r_system AND NOT (l_value <=> r_value)")
-    return pairs.withColumn("relation", relation())
+    return _paired(claims.withColumn("__k", F.row_number().over(best)).where("__k = 1"), group)
+
+
+def conflict_pairs(claims: DataFrame, group: list[str]) -> DataFrame:
+    """All pairs of claims of a group with different values, of different sources and systems: as ``conflicts``, none left out.
+
+    A group costs its pairs, since they are the result. A claim without a source is of a source of its own.
+    """
+    return _paired(claims, group).where("NOT coalesce(l_source = r_source, false)")
 
 
 def adjudicate(pairs: DataFrame, trust: DataFrame) -> DataFrame:

@@ -72,6 +72,19 @@ def conflict_adjudication(spark, d):
     return C.adjudicate(_conflicts(spark, d), _trust(spark, d)).select("subject", "predicate", "l_claim", "r_claim", "relation", "winner", "decided_by")
 
 
+def _pairs(spark, d):
+    return C.conflict_pairs(_claims(spark, d).withColumnRenamed("observation", "claim"), ["subject", "predicate"])
+
+
+def conflict_pairs(spark, d):
+    """Conflicts of all claims; ``conflict_discovery`` has those of each system's last claim of a value."""
+    return _pairs(spark, d).select("subject", "predicate", "l_claim", "r_claim", "relation")
+
+
+def conflict_pair_decisions(spark, d):
+    return C.adjudicate(_pairs(spark, d), _trust(spark, d)).select("subject", "predicate", "l_claim", "r_claim", "relation", "winner", "decided_by")
+
+
 def logged_comparisons(spark, d):
     """Comparisons as the table has them against those of authority and recency."""
     c = table(spark, d, "claim").where("compared_claim_id IS NOT NULL").select("claim_id", "compared_claim_id", F.lower(F.trim("comparison_resolution")).alias("resolution")).distinct()
@@ -105,7 +118,7 @@ def counterfactuals(spark, d):
     return v.groupBy("predicate", "verdict", need.alias("requirement")).agg(F.count(F.lit(1)).alias("subjects"))
 
 
-QUERIES = {f.__name__: f for f in (structural_claims, extraction_gaps, claim_consolidation, corroborated_statements, answer_groups, latest_observations, conflict_discovery, conflict_adjudication, logged_comparisons, verdicts, ablation_matrix, counterfactuals)}
+QUERIES = {f.__name__: f for f in (structural_claims, extraction_gaps, claim_consolidation, corroborated_statements, answer_groups, latest_observations, conflict_discovery, conflict_adjudication, conflict_pairs, conflict_pair_decisions, logged_comparisons, verdicts, ablation_matrix, counterfactuals)}
 
 _SLUG = "regexp_replace(regexp_replace(lower(regexp_replace(trim({x}, ' '), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _COLLAPSE = "lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' '))"
@@ -123,6 +136,9 @@ _A = """{name} AS (SELECT {src}.*, CASE WHEN a.priority > b.priority THEN 'left'
   CASE WHEN a.priority <> b.priority THEN 'authority' WHEN l_observed <> r_observed THEN 'recency' WHEN a.priority IS NULL AND b.priority IS NULL THEN 'no_policy' ELSE 'no_decisive_rule' END AS decided_by
   FROM {src} LEFT JOIN t a ON a.predicate = {src}.predicate AND a.system = l_system LEFT JOIN t b ON b.predicate = {src}.predicate AND b.system = r_system)"""
 _ADJ = _C + _A.format(name="z", src="p")
+_EVERY = _C + """f AS (SELECT l.subject, l.predicate, l.claim AS l_claim, r.claim AS r_claim, l.system AS l_system, r.system AS r_system, l.observed AS l_observed, r.observed AS r_observed,
+  CASE WHEN coalesce(l.valid_to <= r.valid_from, false) OR coalesce(r.valid_to <= l.valid_from, false) THEN 'supersession' ELSE 'contradiction' END AS relation
+  FROM c l JOIN c r ON l.subject = r.subject AND l.predicate = r.predicate AND l.claim < r.claim AND l.system <> r.system AND NOT coalesce(l.source = r.source, false) AND l.value <> r.value)"""
 _GROUPS = _ADJ + """,
 n AS (SELECT subject, predicate, count(*) AS claims FROM c GROUP BY ALL),
 o AS (SELECT subject, predicate, count(*) AS open_conflicts FROM z WHERE relation = 'contradiction' AND winner = 'unresolved' GROUP BY ALL),
@@ -148,6 +164,8 @@ SQL = {
     "latest_observations": _C.rstrip(",\n") + " SELECT subject, predicate, claim AS observation, value FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate ORDER BY coalesce(try_cast(regexp_extract(extractor_version, '([0-9]+)$', 1) AS INT), 0) DESC, observed DESC NULLS LAST, claim) AS k2 FROM c) WHERE k2 = 1",
     "conflict_discovery": _C.rstrip(",\n") + " SELECT subject, predicate, l_claim, r_claim, relation FROM p",
     "conflict_adjudication": _ADJ + " SELECT subject, predicate, l_claim, r_claim, relation, winner, decided_by FROM z",
+    "conflict_pairs": _EVERY + " SELECT subject, predicate, l_claim, r_claim, relation FROM f",
+    "conflict_pair_decisions": _EVERY + ", " + _A.format(name="e", src="f") + " SELECT subject, predicate, l_claim, r_claim, relation, winner, decided_by FROM e",
     "logged_comparisons": _C + "m AS (SELECT DISTINCT claim_id AS l_claim, compared_claim_id AS r_claim, lower(trim(comparison_resolution, ' ')) AS resolution FROM claim WHERE compared_claim_id IS NOT NULL), q AS (SELECT m.*, l.predicate, l.system AS l_system, r.system AS r_system, l.observed AS l_observed, r.observed AS r_observed FROM m JOIN c l ON l.claim = l_claim JOIN c r ON r.claim = r_claim), " + _A.format(name="y", src="q") + " SELECT resolution, winner, decided_by, count(*) AS comparisons FROM y GROUP BY ALL",
     "verdicts": _GROUPS + f"SELECT subject, predicate, {_PLAIN} AS verdict, claims, open_conflicts FROM g",
     "ablation_matrix": _GROUPS + f"SELECT ablation, verdict, count(*) AS groups FROM ({_ABLATED}) GROUP BY ALL",

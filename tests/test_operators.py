@@ -123,6 +123,14 @@ def test_conflicts_and_adjudication(spark):
     assert [r["decided_by"] for r in claims.adjudicate(found, trust.where("false")).collect()] == ["no_policy"]
 
 
+def test_all_claims_meet_in_conflicts(spark):
+    x = [("c1", "v", "a", "jira", None, "2020-01-01", "2020-03-01"), ("c2", "v", "b", "jira", "2020-01-01", None, "2020-02-01"), ("c3", "w", "c", "slack", "2020-02-01", None, None), ("c4", "w", "a", "slack", None, None, None), ("c5", "w", "d", "jira", None, None, None), ("c6", "v", None, "wiki", None, None, None), ("c7", "u", None, "slack", None, None, None)]
+    df = spark.createDataFrame([(i, i, "s", "p", v, src, sy, a, b, o) for i, v, src, sy, a, b, o in x], "observation string, claim string, subject string, predicate string, value string, source string, system string, valid_from string, valid_to string, observed string")
+    found = claims.conflict_pairs(df.withColumns({t: F.col(t).cast("timestamp") for t in ("valid_from", "valid_to", "observed")}), ["subject", "predicate"])
+    expected = {("c1", "c3", "supersession"), *((*p.split(), "contradiction") for p in ("c1 c7", "c2 c3", "c2 c4", "c2 c7", "c3 c6", "c4 c6", "c5 c6", "c5 c7", "c6 c7"))}
+    assert set(rows(found.select("l_claim", "r_claim", "relation"))) == expected and found.count() == len(expected)
+
+
 @pytest.mark.parametrize("given,verdict", [((False, True, 1, 0), "UNKNOWN"), ((True, True, 1, 1), "DISPUTED"), ((True, False, 1, 0), "SUPPORTED"), ((True, True, 0, 0), "NOT_FOUND"), ((True, False, 0, 0), "UNKNOWN"), ((True, None, None, None), "UNKNOWN")])
 def test_verdicts(spark, given, verdict):
     df = spark.createDataFrame([given], "identified boolean, covered boolean, claims bigint, open_conflicts bigint")
