@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessella.operators import alignment as A
 from tessella.operators import contexts as X
-from tessella.operators import retrieval as R
 from tessella.plans import table
+from tessella.staging import stage
 
 _TERMS = (("owner_team", "OWNED_BY", "service", "team"), ("approver", "APPROVED_BY", "service", "person"), ("region", "LOCATED_IN", "service", "place"), ("burst_limit", "HAS_LIMIT", "service", "number"), ("retention_days", "HAS_LIMIT", "service", "number"), ("service_tier", "HAS_TIER", "service", "tier"))
 _RULES = (("owner_team", "OWNED_BY", "service", "team"), ("approver", "APPROVED_BY", "service", "team"), ("region", "LOCATED_IN", "team", "place"), ("burst_limit", "HAS_LIMIT", "service", "number"), ("service_tier", "TIER", "service", "tier"))
@@ -52,12 +52,26 @@ def matched_removal(spark, d):
 
 
 def diverse_segments(spark, d):
-    """Three different lines of each listed question's best documents."""
+    """Three different lines of each listed question's best documents, all those that ``title_hits`` ranks.
+
+    Lines are chosen by falling score, so three that the documents of the best score give are final; only questions that
+    these leave short are worked through with all their documents.
+    """
     from tessella.plans.search import title_hits
 
-    top = title_hits(spark, d).where("place <= 3").select("question_id", "doc_id", "score")
-    lines = R.segments(table(spark, d, "documents").join(top.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id", "text", (1,))
-    return X.diverse_spans(top.join(lines, "doc_id"), "question_id", "segment", "score", 3, 900)
+    most, budget = 3, 900
+    hits = stage(title_hits(spark, d).select("question_id", "doc_id", "score"), "hits")
+    line = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: (F.trim(x) != "") & (F.length(x) <= budget))
+
+    def chosen(top):
+        docs = table(spark, d, "documents").join(top.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct(line).alias("lines"))
+        return X.diverse_spans(top.join(docs, "doc_id").select("question_id", "score", F.explode("lines").alias("segment")), "question_id", "segment", "score", most, budget)
+
+    best = hits.groupBy("question_id").agg(F.max("score").alias("score"))
+    first = stage(chosen(hits.join(best, ["question_id", "score"], "left_semi")), "first")
+    full = first.where(F.col("place") == most).select("question_id")
+    rest = chosen(hits.join(full, "question_id", "left_anti"))
+    return first.join(full, "question_id", "left_semi").unionByName(rest)
 
 
 def wording_precedence(spark, d):

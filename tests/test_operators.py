@@ -251,3 +251,16 @@ def test_staged_tables_can_be_cleared(spark):
     assert one.df.count() == 5 and os.path.isdir(path)
     staging.clear()
     assert not os.path.exists(path) and not staging._written
+
+
+def test_lines_come_from_all_ranked_documents(spark, monkeypatch):
+    from tessella.plans import contexts as plan
+    from tessella.plans import search
+
+    same = "one two three"
+    texts = [same, same, f"{same}\n \r\n{same} ", "x" * 901, "four five", "a\nb\nc\nd", "late"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    hits = [("p", i, 9.0 - i, i + 1) for i in range(5)] + [("q", 5, 2.0, 1), ("q", 6, 1.0, 2), ("r", 6, 3.0, 1), ("r", 4, 3.0, 2), ("r", 5, 1.0, 3)]
+    monkeypatch.setattr(search, "title_hits", lambda s, d: spark.createDataFrame(hits, "question_id string, doc_id bigint, score double, place int"))
+    monkeypatch.setattr(plan, "table", lambda s, d, name: docs)
+    assert rows(plan.diverse_segments(spark, "").select("question_id", "place", "segment")) == [("p", 1, same), ("p", 2, "four five"), ("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c"), ("r", 1, "four five"), ("r", 2, "late"), ("r", 3, "a")]
