@@ -211,3 +211,15 @@ def test_near_duplicates_of_nothing_and_of_copies(spark):
     assert links.count() == 0 and {r["class"] for r in classes.collect()} == {0} and classes.count() == 300
     links, classes = neardup.near_duplicates(df.where("false"), "doc_id", "text", width=3, tenths=6, least_words=30)
     assert links.count() == 0 and classes.count() == 0
+
+
+def test_a_sketch_may_fall_short_by_five_deviations(spark):
+    """Of 72 agreements a pair at the threshold has 50.4 on average; one with 30 is still compared."""
+
+    def sketch(differing):
+        bits = [1 if i < differing else 0 for i in range(neardup.TREES * neardup.LEAST_DEPTH)]
+        return [sum(b << 2 * i for i, b in enumerate(bits[k::3])) for k in range(3)]
+
+    heads = spark.createDataFrame([(0, sketch(0)), (1, sketch(37)), (2, sketch(42)), (3, sketch(43))], "id bigint, sketch array<bigint>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "a bigint, b bigint")
+    assert sorted(map(tuple, neardup._likely(pairs, heads, 6).collect())) == [(0, 1), (0, 2)]
