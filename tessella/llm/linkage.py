@@ -2,8 +2,9 @@
 
 Several heuristic functions vote on each candidate pair; a generative model learns, without labels, how often each
 vote is given to pairs that are one person and to pairs that aren't, and which votes hang together (a tree of dependencies
-in either class), and gives every pair its posterior. Votes come in few combinations, so the model is
-fitted on counts of combinations over all pairs, however many there are.
+in either class), and gives every pair its posterior. No rule keeps a candidate from the model. Votes come in few combinations, so
+the model is fitted on counts of combinations over all pairs, however many there are. What a pair's surely linked third records say is a
+vote too: the model is fitted again with it, and its posterior is every pair's confidence.
 """
 
 from __future__ import annotations
@@ -17,20 +18,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.names import _unspelled, learn_first_names, spelled
+from tessella.llm.names import HOT, _unspelled, learn_first_names, plain, relatives, spelled
 from tessella.llm.people import FirstNames, distance, firm_cost, fold, same_person, shortened
 from tessella.staging import stage
 
 #: The votes and how many answers each has; 0 is always an abstention.
-VOTES = {"name": 4, "alone": 3, "org": 3, "place": 3, "role": 3, "phone": 4, "handle": 3}
-#: Posterior from which a pair is linked; and, where both are linked to a third record with ``SUPPORT``, from which one in doubt is.
-LINK, SUPPORTED, SUPPORT = 0.5, 0.15, 0.9
+VOTES = {"name": 5, "alone": 3, "org": 3, "place": 3, "role": 3, "phone": 4, "handle": 3}
+#: The vote of third records, in the second fit: whether both are surely linked to one, or one of them to another record of the other's system alone.
+THIRD = {"third": 3}
+#: Posterior from which a pair is linked, and from which it is sure enough to speak for others.
+LINK, SURE = 0.5, 0.9
 #: A telephone extension is a switchboard's if this share of all records has it.
 SHARED_PHONE = 1 / 1000
 ROUNDS = 60
+#: Pairs of one person whose names have nothing to do with each other, at most.
+NAMELESS = 0.01
 
 #: How each answer counts in the first guess, from which learning starts (log odds); abstentions count nothing.
-_GUESS = {"name": (0, -0.5, 0.7, 1.5), "alone": (0, 1.0, -0.7), "org": (0, -1.5, 1.7), "place": (0, -1.5, 1.7), "role": (0, -1.2, 1.4), "phone": (0, -3.0, 0.2, 4.0), "handle": (0, -0.7, 0.7)}
+_GUESS = {"name": (0, -4.0, -0.5, 0.7, 1.5), "alone": (0, 1.0, -0.7), "org": (0, -1.5, 1.7), "place": (0, -1.5, 1.7), "role": (0, -1.2, 1.4), "phone": (0, -3.0, 0.2, 4.0), "handle": (0, -0.7, 0.7), "third": (0, -1.0, 2.0)}
 _PRIOR = -1.0
 
 _PHONES = ("phone", "ext")
@@ -127,8 +132,7 @@ def candidates(nodes: DataFrame, first_names) -> DataFrame:
     """Pairs of nodes of different systems whose names are near: a, b (a < b).
 
     They meet at a family name with at most one letter left out together with an initial the first name or one of its short forms
-    has, or at a first name with an organisation or place and the family name's initial. Keys that many
-    nodes share are split by Spark when it joins them.
+    has, or at a first name with an organisation or place and the family name's initial.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,13 +157,17 @@ def candidates(nodes: DataFrame, first_names) -> DataFrame:
                 keys += sorted(found)
             yield b.iloc[rows][["node", "system"]].assign(key=keys)
 
-    keyed = nodes.select("node", "system", "spelled", "org", "place").mapInPandas(run, "node string, system string, key string")
-    right = keyed.select(F.col("node").alias("b"), F.col("system").alias("system_b"), "key")
-    return keyed.withColumnRenamed("node", "a").join(right, "key").where("a < b AND system <> system_b").select("a", "b").distinct()
+    keyed = stage(nodes.select("node", "system", "spelled", "org", "place").mapInPandas(run, "node string, system string, key string"), "keys")
+    # what more than HOT nodes share is split: a left node is in one part, a right one goes to all of them
+    sized = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("system").alias("s"), F.max("system").alias("t")).where("n > 1 AND s < t").select("key", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    both = keyed.join(sized, "key")
+    left = both.select("key", F.col("node").alias("a"), "system", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("k"))
+    right = both.select("key", F.col("node").alias("b"), F.col("system").alias("system_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
+    return left.join(right, ["key", "k"]).where("a < b AND system <> system_b").select("a", "b").distinct()
 
 
 def vote(pairs: DataFrame, nodes: DataFrame, first_names, shared_phones) -> DataFrame:
-    """a, b and a column for each of ``VOTES``; pairs whose names can't be one person's are left out."""
+    """a, b and a column for each of ``VOTES``."""
     fields = ["spelled", "org", "place", "role", "phones", "handles", "same_name"]
     side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(f).alias(f"{f}_{x}") for f in fields))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -167,50 +175,54 @@ def vote(pairs: DataFrame, nodes: DataFrame, first_names, shared_phones) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, switchboards = first_names.value, shared_phones.value
         for b in batches:
-            kept, votes = [], []
-            for i, r in enumerate(b.itertuples(index=False)):
+            votes = []
+            for r in b.itertuples(index=False):
                 pa, pb = _unspelled(r.spelled_a), _unspelled(r.spelled_b)
                 score = same_person(pa, pb, names)
-                if score <= 0:
-                    continue
                 pha, phb = set(r.phones_a.split()), set(r.phones_b.split())
                 phone = 0 if not pha or not phb else 1 if not pha & phb else 3 if (pha & phb) - switchboards else 2
                 handles = [_names_handle(r.handles_a.split(), pb[0]), _names_handle(r.handles_b.split(), pa[0])]
-                kept.append(i)
-                votes.append((3 if score >= 0.99 else 2 if score >= 0.8 else 1, 1 if r.same_name_a <= 1 and r.same_name_b <= 1 else 2, _same_words(r.org_a, r.org_b), _same_place(r.place_a, r.place_b), _same_words(r.role_a, r.role_b), phone, 1 if 1 in handles else max(handles)))
-            out = b.iloc[kept][["a", "b"]].reset_index(drop=True)
+                votes.append((1 if score <= 0 else 4 if score >= 0.99 else 3 if score >= 0.8 else 2, 1 if r.same_name_a <= 1 and r.same_name_b <= 1 else 2, _same_words(r.org_a, r.org_b), _same_place(r.place_a, r.place_b), _same_words(r.role_a, r.role_b), phone, 1 if 1 in handles else max(handles)))
+            out = b[["a", "b"]].reset_index(drop=True)
             yield pd.concat([out, pd.DataFrame(votes, columns=list(VOTES), dtype=np.int32)], axis=1)
 
     return both.mapInPandas(run, "a string, b string, " + ", ".join(f"{v} int" for v in VOTES))
 
 
 class LabelModel:
-    """p(match), and in either class the votes as a tree of dependencies learned from all combinations of votes."""
-
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray) -> None:
-        self._sizes = list(VOTES.values())
-        guess = _PRIOR + sum(np.array(_GUESS[v])[patterns[:, k]] for k, v in enumerate(VOTES))
-        self.posterior = 1 / (1 + np.exp(-guess))
+    """p(match), and in each class (one person, strangers, namesakes) the votes as a tree of dependencies learned from all combinations of votes."""
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, votes: dict[str, int] = VOTES, start: np.ndarray | None = None) -> None:
+        """``start``: log odds from which learning begins in place of ``_PRIOR`` and the guesses of ``VOTES``."""
+        self._sizes = list(votes.values())
+        own = [v for v in votes if start is None or v not in VOTES]
+        guess = (_PRIOR if start is None else start) + sum(np.array(_GUESS[v])[patterns[:, list(votes).index(v)]] for v in own)
+        match = 1 / (1 + np.exp(-guess))
+        # pairs that aren't one person are of two kinds, strangers and namesakes, which votes tell apart as well
+        stranger = np.where(patterns[:, list(votes).index("name")] == 1, 0.95, 0.05)
+        shares = np.stack([match, (1 - match) * stranger, (1 - match) * (1 - stranger)], 1)
         for _ in range(ROUNDS):
-            odds = np.zeros(len(patterns))
-            for sign, weight in ((1, self.posterior), (-1, 1 - self.posterior)):
-                w = weight * counts
-                odds += sign * (np.log(w.sum() + 1) + self._log_likelihood(patterns, w))
-            new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
-            done = float(np.abs(new - self.posterior).max(initial=0)) < 1e-6
-            self.posterior = new
+            logs = np.stack([np.log((w := shares[:, k] * counts).sum() + 1) + self._log_likelihood(patterns, w, NAMELESS if k == 0 else 1.0) for k in range(3)], 1)
+            logs -= logs.max(1, keepdims=True)
+            new = np.exp(logs) / np.exp(logs).sum(1, keepdims=True)
+            done = float(np.abs(new - shares).max(initial=0)) < 1e-6
+            shares = new
             if done:
                 break
+        self.posterior = shares[:, 0]
 
-    def _log_likelihood(self, patterns: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def _log_likelihood(self, patterns: np.ndarray, weight: np.ndarray, nameless: float) -> np.ndarray:
         """log p of each combination under the class's Chow-Liu tree, which is fitted on the way.
 
-        An abstention says nothing: it counts in no table, and a vote whose parent abstains has its own frequency.
+        An abstention says nothing: it counts in no table, and a vote whose parent abstains has its own frequency. ``nameless``
+        bounds the share of the class's pairs whose names (the first vote) differ.
         """
         m = len(self._sizes)
         given = patterns > 0
         single = [np.bincount(patterns[:, k], weight * given[:, k], n)[1:] + 0.5 for k, n in enumerate(self._sizes)]
         single = [s / s.sum() for s in single]
+        single[0][0] = min(single[0][0], nameless)
+        single[0] /= single[0].sum()
         joint: dict[tuple[int, int], np.ndarray] = {}
         gain = np.zeros((m, m))
         for i in range(m):
@@ -234,13 +246,52 @@ class LabelModel:
         return out
 
 
+def _posteriors(voted: DataFrame, votes: dict[str, int], start: str | None = None) -> DataFrame:
+    """a, b, votes and the confidence that the model gives; the driver gets the counts of vote combinations, at most the product of ``votes``."""
+    first = [F.avg(start).alias("start")] if start else []
+    counted = voted.groupBy(*votes).agg(F.count(F.lit(1)).alias("n"), *first).orderBy(*votes).toPandas()
+    odds = np.log(np.clip(counted["start"], 1e-6, 1 - 1e-6) / (1 - np.clip(counted["start"], 1e-6, 1 - 1e-6))).to_numpy() if start else None
+    counted["confidence"] = LabelModel(counted[list(votes)].to_numpy(np.int64), counted["n"].to_numpy(np.float64), votes, odds).posterior
+    posterior = voted.sparkSession.createDataFrame(counted[[*votes, "confidence"]], ", ".join(f"{v} int" for v in votes) + ", confidence double")
+    return voted.select("a", "b", *votes).join(F.broadcast(posterior), list(votes))
+
+
+def _with_third(scored: DataFrame, nodes: DataFrame, first_names, switchboards) -> DataFrame:
+    """scored and the pairs that only share surely linked third records, with the vote ``third`` and ``start``, the posterior so far.
+
+    2: both are surely one person with a third record; 1: one of them surely is with a record of the other's system, and this pair isn't sure; else 0.
+    """
+    system = nodes.select("node", "system")
+    sure = scored.where(F.col("confidence") >= SURE).select("a", "b")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")
+    beside = stage(sure.select(ends).select("e.*").join(system.withColumnRenamed("node", "y"), "y"), "sure")
+    other = beside.select("x", F.col("y").alias("z"), F.col("system").alias("s2"))
+    third = stage(beside.join(other, "x").where("y < z AND system <> s2").select(F.col("y").alias("a"), F.col("z").alias("b")).distinct(), "third")
+    new = vote(third.join(scored, ["a", "b"], "left_anti"), nodes, first_names, switchboards).withColumn("confidence", F.lit(None).cast("double"))
+    taken = beside.select(F.col("x"), F.col("system").alias("s")).distinct()
+    sides = lambda k: system.withColumnRenamed("node", k).withColumnRenamed("system", f"s{k}")
+    every = scored.unionByName(new).join(third.withColumn("three", F.lit(True)), ["a", "b"], "left").join(sides("a"), "a").join(sides("b"), "b")
+    rival = lambda x, y: taken.select(F.col("x").alias(x), F.col("s").alias(f"s{y}"), F.lit(True).alias(f"rival_{x}"))
+    every = every.join(rival("a", "b"), ["a", "sb"], "left").join(rival("b", "a"), ["b", "sa"], "left")
+    unsure = F.coalesce("confidence", F.lit(0.0)) < SURE
+    said = F.when(F.col("three"), 2).when(unsure & (F.col("rival_a") | F.col("rival_b") | (F.col("rival_a").isNull() & F.col("rival_b"))), 1).otherwise(0)
+    return every.select("a", "b", *VOTES, said.cast("int").alias("third"), F.coalesce("confidence", F.lit(0.1)).alias("start"))
+
+
+def _family_pairs(nodes: DataFrame) -> DataFrame:
+    """family, first, second, agree of names of one family name in one place, for learning first names; ``agree`` is about roles."""
+    words = F.split(plain("spelled"), " ")
+    each = nodes.where((F.size(words) > 1) & (F.col("place") != "") & (F.col("role") != "")).select(F.element_at(words, -1).alias("family"), "place", "role", words[0].alias("first"))
+    side = lambda x: each.select("family", "place", F.col("role").alias(f"r{x}"), F.concat_ws(" ", "first", "family").alias(x)).distinct()
+    return relatives(side("a").join(side("b"), ["family", "place"]).where("a < b"), "a", "b", F.col("ra") == F.col("rb"))
+
+
 def link_records(people: DataFrame) -> DataFrame:
     """Pairs of objects of different systems that are one person: left, right (smaller first), confidence.
 
     Objects that are alike in all attributes and system are one node, so a third of all rows being copies costs
-    no pairs among the copies. The driver gets the counts of vote combinations, at most the product of ``VOTES``, and sends back
-    their posteriors; nothing else leaves the executors. A pair in doubt, or that shared no key, is linked where both are surely one person
-    with a third, with the product of those confidences.
+    no pairs among the copies. The driver gets the counts of vote combinations and sends back
+    their posteriors; nothing else leaves the executors. Every pair's confidence is a posterior, also of those that only share third records.
 
     Null and empty attributes and identifier lists abstain. Empty tables give an empty result.
     """
@@ -251,24 +302,14 @@ def link_records(people: DataFrame) -> DataFrame:
     alone = stage(named, "alone")
     namesakes = alone.groupBy("system", "spelled").agg(F.count(F.lit(1)).alias("same_name"))
     nodes = stage(alone.join(namesakes, ["system", "spelled"]), "nodes")
-    first_names = sc.broadcast(learn_first_names(nodes))
+    first_names = sc.broadcast(learn_first_names(nodes, _family_pairs(nodes)))
     total = nodes.count()
     often = nodes.select(F.explode(F.split("phones", " ")).alias("p")).where("p <> ''").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(max(20.0, total * SHARED_PHONE)))
     switchboards = sc.broadcast({r["p"] for r in often.collect()})  # of four digits: at most 10,000
     voted = stage(vote(candidates(nodes, first_names).repartition("a"), nodes, first_names, switchboards), "votes")
-    counted = voted.groupBy(*VOTES).agg(F.count(F.lit(1)).alias("n")).orderBy(*VOTES).toPandas()
-    model = LabelModel(counted[list(VOTES)].to_numpy(np.int64), counted["n"].to_numpy(np.float64))
-    counted["confidence"] = model.posterior
-    posterior = people.sparkSession.createDataFrame(counted[[*VOTES, "confidence"]], ", ".join(f"{v} int" for v in VOTES) + ", confidence double")
-    scored = stage(voted.join(F.broadcast(posterior), list(VOTES)).select("a", "b", "confidence"), "scored")
-    sure = scored.where(F.col("confidence") >= SUPPORT)
-    known = nodes.select("node", "system")
-    ends = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")
-    beside = sure.select(ends, "confidence").select("e.*", "confidence").join(known.withColumnRenamed("node", "y"), "y")
-    other = beside.select("x", F.col("y").alias("z"), F.col("confidence").alias("c2"), F.col("system").alias("s2"))
-    third = beside.join(other, "x").where("y < z AND system <> s2").groupBy(F.col("y").alias("a"), F.col("z").alias("b")).agg(F.max(F.col("confidence") * F.col("c2")).alias("through"))
-    backed = third.join(scored, ["a", "b"], "left").where(F.coalesce("confidence", "through") >= SUPPORTED).where(F.coalesce("confidence", F.lit(0.0)) < LINK).select("a", "b", "through")
-    linked = scored.where(F.col("confidence") >= LINK).unionByName(backed.withColumnRenamed("through", "confidence"))
+    scored = stage(_posteriors(voted, VOTES), "scored")
+    again = stage(_with_third(scored, nodes, first_names, switchboards), "votes_again")
+    linked = _posteriors(again, VOTES | THIRD, "start").where(F.col("confidence") >= LINK).select("a", "b", "confidence")
     members = every.join(nodes, alike).select("node", "id")
     left, right = members.select(F.col("node").alias("a"), F.col("id").alias("i")), members.select(F.col("node").alias("b"), F.col("id").alias("j"))
     spread = linked.join(left, "a").join(right, "b")

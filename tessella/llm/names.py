@@ -2,8 +2,9 @@
 
 Names are folded to a small alphabet, so there are at most ``GRAMS`` trigrams and their weights are a table of
 bounded size. Names meet through the trigrams of their prefix: rarest first, up to where the rest of a vector is too short
-to reach the threshold alone, so no pair over the threshold is missed and no list of partners is cut. Pairs over it
-are checked word by word, and what remains is clustered.
+to reach the threshold alone, so no pair over the threshold is missed and no list of partners is cut. A pair's shared weights
+are added up where it meets, and only pairs that can still reach the threshold are looked at; those over it are checked
+word by word, by first names learned from the data alone, and what remains is clustered by its cosines.
 """
 
 from __future__ import annotations
@@ -26,9 +27,18 @@ if TYPE_CHECKING:
 _ALPHABET = {c: i for i, c in enumerate(" abcdefghijklmnopqrstuvwxyz0123456789")}
 GRAMS = len(_ALPHABET) ** 3
 #: Cosine that two spellings must reach, of persons and of firms, and average similarity of a cluster.
-PERSON_COSINE, FIRM_COSINE, LINKAGE = 0.25, 0.25, 0.2
+PERSON_COSINE, FIRM_COSINE, LINKAGE = 0.35, 0.3, 0.2
 #: A first name is one in its own right if this share of all names bears it; a short form, if this share shows it.
 COMMON_SHARE, SHORT_SHARE, LEAST_COUNT = 1 / 10000, 1 / 20000, 3
+#: Two first names are one if bearers of one family name agree in the hint in this share of their families, which are that
+#: share of the rarer name's; they are different ones if fewer than ``APART`` of at least two families agree.
+AGREE, OF_RARER, APART = 0.5, 0.15, 0.3
+#: Names of a block with one trigram that a task pairs with each other; more are split over tasks.
+HOT = 2048
+#: Texts added to every trigram's count, so that slips, which are rare, don't outweigh the rest, nor few texts say much.
+SEEN = 30
+#: Vectors that a process remembers.
+MEMO = 50_000
 #: Cost up to which a firm's words are the listed ones.
 FIRM_COST = 2.5
 
@@ -58,7 +68,7 @@ def gram_weights(nodes: DataFrame, text: str) -> np.ndarray:
     rows = nodes.select(text).mapInPandas(count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(GRAMS + 1, np.float64)
     n[rows["gram"].to_numpy()] = rows["n"].to_numpy()
-    return np.log((1 + n[GRAMS]) / (1 + n[:GRAMS])) + 0.1
+    return np.log((SEEN + n[GRAMS]) / (SEEN + n[:GRAMS])) + 0.1
 
 
 def _vector(text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,31 +77,92 @@ def _vector(text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, w / (np.sqrt((w * w).sum()) or 1.0)
 
 
-def cosine(a: str, b: str, weights: np.ndarray) -> float:
-    (ga, wa), (gb, wb) = _vector(a, weights), _vector(b, weights)
-    _, i, j = np.intersect1d(ga, gb, assume_unique=True, return_indices=True)
-    return float((wa[i] * wb[j]).sum())
+class Cosines:
+    """Cosines of texts under a table of weights; vectors are remembered in a process, up to ``MEMO``."""
 
+    def __init__(self, weights: np.ndarray) -> None:
+        self._weights = weights
+        self._vectors: dict[str, dict[int, float]] = {}
 
-def _postings(nodes: DataFrame, columns: list[str], text: str, weights: Broadcast, threshold: float) -> DataFrame:
-    """``columns`` and each trigram of the prefix of the node's vector; with a threshold of 0 all of them."""
-    kinds = dict(nodes.dtypes)
+    def _of(self, text: str) -> dict[int, float]:
+        found = self._vectors.get(text)
+        if found is None:
+            if len(self._vectors) >= MEMO:
+                self._vectors.clear()
+            g, w = _vector(text, self._weights)
+            found = self._vectors[text] = dict(zip(g.tolist(), w.tolist(), strict=True))
+        return found
+
+    def __call__(self, a: str, b: str) -> float:
+        x, y = self._of(a), self._of(b)
+        return sum(x[g] * y[g] for g in x.keys() & y.keys())
+
+
+def _postings(texts: DataFrame, weights: Broadcast, threshold: float) -> DataFrame:
+    """block, id, gram, part, after of each trigram of the prefix of each text's vector.
+
+    ``part`` is the gram's share of the unit vector, ``after`` the length of what follows it in the order of weights. texts: block, text.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows, found = [], []
-            for i, t in enumerate(b[text]):
+            rows, grams_, parts, afters = [], [], [], []
+            for i, t in enumerate(b["text"]):
                 g, w = _vector(t, weights.value)
                 order = np.argsort(-w, kind="stable")
                 rest = 1 - np.cumsum(w[order] ** 2)
-                keep = g[order[: int((rest >= threshold**2).sum()) + 1]] if threshold else g
+                n = int((rest >= threshold**2).sum()) + 1
+                keep = order[:n]
                 rows += [i] * len(keep)
-                found.append(keep)
-            out = b.iloc[rows][columns].copy()
-            out["gram"] = (np.concatenate(found) if found else np.zeros(0)).astype(np.int32)
+                grams_.append(g[keep])
+                parts.append(w[keep])
+                afters.append(np.sqrt(np.maximum(0.0, rest[:n])))
+            out = b.iloc[rows][["block", "id"]].copy()
+            flat = lambda x: np.concatenate(x) if x else np.zeros(0)
+            out["gram"], out["part"], out["after"] = flat(grams_).astype(np.int32), flat(parts).astype(np.float32), flat(afters).astype(np.float32)
             yield out
 
-    return nodes.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", gram int")
+    return texts.select("block", F.xxhash64("block", "text").alias("id"), "text").mapInPandas(run, "block string, id bigint, gram int, part float, after float")
+
+
+def _meetings(left: DataFrame, right: DataFrame | None) -> DataFrame:
+    """a, b of texts that share prefix grams: what these give (``shared``), and the most that others could add (``rest``).
+
+    All grams of a pair that aren't counted follow its last counted one in either vector, so the product of what follows bounds them.
+    ``right`` null pairs ``left`` with itself (a < b). What more than ``HOT`` names of a block share is split: each of
+    its left names is in one part, and each of its right ones goes to all of them.
+    """
+    keys = ["block", "gram"]
+    own = right is None
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.where("n > 1") if own else counts.join(right.select(*keys).distinct(), keys, "left_semi")
+    sized = counts.select(*keys, F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    a = left.join(sized, keys).select(*keys, F.col("id").alias("a"), F.col("part").alias("pa"), F.col("after").alias("ra"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("k"))
+    b = (left if own else right).join(sized, keys).select(*keys, F.col("id").alias("b"), F.col("part").alias("pb"), F.col("after").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k"))
+    met = a.join(b, [*keys, "k"])
+    met = met.where("a < b") if own else met
+    return met.groupBy("a", "b").agg(F.sum(F.col("pa") * F.col("pb")).alias("shared"), F.min(F.col("ra") * F.col("rb")).alias("rest"))
+
+
+def near_texts(left: DataFrame, right: DataFrame | None, weights: Broadcast, threshold: float) -> DataFrame:
+    """block, a, b, similarity of all pairs of texts of a block whose cosine is ``threshold`` or more.
+
+    left, right: block, text, distinct; ``right`` null pairs ``left`` with itself, each pair once. Exact: what the shared prefix grams
+    give and the others could add decides which pairs are compared as a whole.
+    """
+    ours = stage(_postings(left, weights, threshold), "postings")
+    theirs = None if right is None else stage(_postings(right, weights, threshold), "postings")
+    possible = _meetings(ours, theirs).where(F.col("shared") + F.col("rest") >= threshold - 1e-4).select("a", "b")
+    named = lambda x, side: x.select(F.xxhash64("block", "text").alias(side), F.col("block").alias(f"block_{side}"), F.col("text").alias(f"text_{side}"))
+    both = possible.join(named(left, "a"), "a").join(named(left if right is None else right, "b"), "b").where("block_a = block_b").select(F.col("block_a").alias("block"), F.col("text_a").alias("a"), F.col("text_b").alias("b"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cosine = Cosines(weights.value)
+        for b in batches:
+            b["similarity"] = np.fromiter((cosine(x, y) for x, y in zip(b["a"], b["b"], strict=True)), np.float64, len(b))
+            yield b[b["similarity"] >= threshold]
+
+    return both.mapInPandas(score, "block string, a string, b string, similarity double")
 
 
 def spelled(name: str | None) -> str:
@@ -105,65 +176,122 @@ def _unspelled(text: str) -> tuple[list[str], list[str]]:
     return words.split(), aside.split()
 
 
-def learn_first_names(nodes: DataFrame) -> FirstNames:
-    """First names in their own right, and short forms given aside, from all names; at most 1 / share of each reach the driver."""
+def plain(column: str):
+    """The spelled name without what was given aside."""
+    return F.regexp_replace(column, r"\|.*", "")
+
+
+def learn_first_names(nodes: DataFrame, near: DataFrame | None = None) -> FirstNames:
+    """First names in their own right, forms of one name, and names that tell relatives apart, from all names of the data.
+
+    nodes: spelled. near: family, first, second (first names that are seen with this family name in one place), agree (0 or 1:
+    whether their bearers agree in the hint). Forms also are those given aside. At most 1 / share of each reach the driver.
+    """
     words = F.split(F.element_at(F.split("spelled", r"\|"), 1), " ")
     first = nodes.where(F.size(words) > 1).select(words[0].alias("first"), F.try_element_at(F.split(F.try_element_at(F.split("spelled", r"\|"), F.lit(2)), " "), F.lit(1)).alias("aside"))
     total = first.count()
-    often = lambda share: F.col("n") >= F.lit(max(LEAST_COUNT, total * share))
-    common = first.where(F.length("first") > 2).groupBy("first").agg(F.count(F.lit(1)).alias("n")).where(often(COMMON_SHARE)).collect()
-    pairs = first.where("aside IS NOT NULL AND length(aside) > 1").groupBy("first", "aside").agg(F.count(F.lit(1)).alias("n")).where(often(SHORT_SHARE)).collect()
-    return FirstNames({r["first"] for r in common}, {(r["first"], r["aside"]) for r in pairs})
-
-
-def spell(df: DataFrame, item: str, name: str, block: str) -> DataFrame:
-    """block, id, spelled of the rows that have all three; repeated rows once."""
+    often = lambda share, least=LEAST_COUNT: F.col("n") >= F.lit(max(least, total * share))
+    bearers = first.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    common = {r["first"] for r in bearers.where((F.length("first") > 2) & often(COMMON_SHARE)).collect()}
+    pairs = {(r["first"], r["aside"]) for r in first.where("aside IS NOT NULL AND length(aside) > 1").groupBy("first", "aside").agg(F.count(F.lit(1)).alias("n")).where(often(SHORT_SHARE)).collect()}
+    if near is None:
+        return FirstNames(common, pairs)
+    each = near.groupBy("family", "first", "second").agg(F.max("agree").alias("agree"))
+    seen = each.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"), F.sum("agree").alias("agree"))
+    own = lambda c: bearers.select(F.col("first").alias(c), F.col("n").alias(f"n_{c}"))
+    rated = seen.join(own("first"), "first", "left").join(own("second"), "second", "left").na.fill(1, ["n_first", "n_second"])
+    same = (F.col("agree") >= AGREE * F.col("n")) & (F.col("n") >= OF_RARER * F.least("n_first", "n_second"))
+    other = (F.col("n") > 1) & (F.col("agree") < APART * F.col("n"))
+    rows = rated.where((same | other) & often(SHORT_SHARE / 10, 1)).select("first", "second", "agree", (F.col("n_first") < F.col("n_second")).alias("turned"), same.alias("same")).collect()
+    # a rare word is a form of what it is seen with most, unless it's a slip of another name
+    slips = {v for w in common if len(w) > 3 for v in _one_less(w)}
+    forms: dict[str, tuple[int, set[str]]] = {}
+    for r in (r for r in rows if r["same"]):
+        rare, full = (r["first"], r["second"]) if r["turned"] else (r["second"], r["first"])
+        best, found = forms.get(rare, (0, set()))
+        if r["agree"] > best:
+            forms[rare] = (r["agree"], {full})
+        elif r["agree"] == best:
+            found.add(full)
+    for rare, (agree, full) in forms.items():
+        if len(full) == 1 and (agree > 1 or rare in common or not (_one_less(rare) & slips)):
+            pairs.add((*full, rare))
+    return FirstNames(common, pairs, {(r["first"], r["second"]) for r in rows if not r["same"]})
+
+
+def _one_less(word: str) -> set[str]:
+    """A word and what it is with one letter left out."""
+    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+
+
+def relatives(pairs: DataFrame, a: str, b: str, agree) -> DataFrame:
+    """family, first, second, agree of pairs of spelled names with one family name and two first names (for ``learn_first_names``)."""
+    words = lambda c: F.split(plain(c), " ")
+    last = lambda c: F.element_at(words(c), -1)
+    one, two = words(a)[0], words(b)[0]
+    full = (F.size(words(a)) > 1) & (F.size(words(b)) > 1) & (F.length(one) > 1) & (F.length(two) > 1)
+    return pairs.where(full & agree.isNotNull() & (last(a) == last(b)) & (one != two)).select(last(a).alias("family"), F.least(one, two).alias("first"), F.greatest(one, two).alias("second"), agree.cast("int").alias("agree"))
+
+
+def spell(df: DataFrame, item: str, name: str, block: str, hint: str | None = None) -> DataFrame:
+    """block, id, spelled, hint of the rows that have the first three; repeated rows once."""
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b.columns = ["id", "spelled", "block"]
             b["spelled"] = [spelled(x) for x in b["spelled"]]
-            yield b[b["spelled"].str.contains("[a-z]", regex=True)][["block", "id", "spelled"]]
+            yield b[b["spelled"].str.contains("[a-z]", regex=True)]
 
     have = F.col(item).isNotNull() & F.col(name).isNotNull() & F.col(block).isNotNull()
-    return df.where(have).select(item, name, block).mapInPandas(run, f"block {kinds[block]}, id {kinds[item]}, spelled string").distinct()
+    given = df.where(have).select(F.col(block).cast("string").alias("block"), F.col(item).alias("id"), F.col(name).alias("spelled"), F.lower(F.trim(F.col(hint) if hint else F.lit(None).cast("string"))).alias("hint"))
+    return given.mapInPandas(run, f"block string, id {kinds[item]}, spelled string, hint string").distinct()
+
+
+def near_names(df: DataFrame, item: str, name: str, block: str, threshold: float = PERSON_COSINE, hint: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """records (block, id, spelled), nodes (block, spelled, hint) and the pairs of nodes of a block whose cosine is ``threshold`` or more."""
+    records = stage(spell(df, item, name, block, hint), "spelled")
+    nodes = stage(records.groupBy("block", "spelled").agg(F.min("hint").alias("hint")), "nodes")
+    texts = stage(nodes.select("block", plain("spelled").alias("text")).distinct(), "texts")
+    weights = df.sparkSession.sparkContext.broadcast(gram_weights(texts, "text"))
+    near = near_texts(texts, None, weights, threshold)
+    # the nodes of two near texts, and those of one text that differ in what is given aside
+    side = lambda x: nodes.select("block", plain("spelled").alias(x), F.col("spelled").alias(f"{x}_spelled"), F.col("hint").alias(f"{x}_hint"))
+    apart = near.join(side("a"), ["block", "a"]).join(side("b"), ["block", "b"])
+    alike = side("a").join(side("b").withColumnRenamed("b", "a"), ["block", "a"]).where("a_spelled < b_spelled").withColumn("similarity", F.lit(1.0))
+    columns = ["block", "a_spelled", "b_spelled", "similarity", "a_hint", "b_hint"]
+    return records.select("block", "id", "spelled").distinct(), nodes, stage(apart.select(*columns).unionByName(alike.select(*columns)), "pairs")
+
+
+def cluster_names(records: DataFrame, pairs: DataFrame, first_names: FirstNames, linkage: float = LINKAGE) -> DataFrame:
+    """id, cluster of all records: average linkage by the cosines of the pairs whose words are one person's."""
+    learned = records.sparkSession.sparkContext.broadcast(first_names)
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[same_person(_unspelled(x), _unspelled(y), learned.value) > 0 for x, y in zip(b["a_spelled"], b["b_spelled"], strict=True)]]
+
+    checked = pairs.select("block", "a_spelled", "b_spelled", "similarity").mapInPandas(check, "block string, a_spelled string, b_spelled string, similarity double")
+    node = lambda c: F.concat_ws("\x1f", F.col("block"), F.col(c))
+    edges = checked.select(F.least(node("a_spelled"), node("b_spelled")).alias("a"), F.greatest(node("a_spelled"), node("b_spelled")).alias("b"), "similarity")
+    clusters = average_linkage(stage(edges, "close"), linkage)
+    placed = records.select("id", node("spelled").alias("node"))
+    return placed.join(clusters, "node", "left").select("id", F.coalesce("cluster", "node").alias("cluster")).distinct()
 
 
-def link_names(df: DataFrame, item: str, name: str, block: str, threshold: float = PERSON_COSINE, linkage: float = LINKAGE) -> DataFrame:
+def link_names(df: DataFrame, item: str, name: str, block: str, threshold: float = PERSON_COSINE, linkage: float = LINKAGE, hint: str | None = None) -> DataFrame:
     """id, cluster of every record whose name is a spelling of another's in the same ``block``.
 
     Records that share a block and a cluster mean one person. Equal spellings are one node, so a spelling that a
-    third of all rows bear costs no pairs. Null, empty and wordless names, null blocks and null ids are left out.
+    third of all rows bear costs no pairs. ``hint`` names a column in which records of one person mostly agree and those of
+    relatives don't (a role): what first names are forms of each other is learned from it, and nothing else. Null, empty and wordless
+    names, null blocks and null ids are left out.
     """
-    records = stage(spell(df, item, name, block), "spelled")
-    nodes = stage(records.select("block", "spelled").distinct(), "nodes")
-    sc = df.sparkSession.sparkContext
-    plain = nodes.select(F.regexp_replace("spelled", r"\|.*", "").alias("plain"))
-    weights, first_names = sc.broadcast(gram_weights(plain, "plain")), sc.broadcast(learn_first_names(nodes))
-    posted = _postings(nodes.withColumn("plain", F.regexp_replace("spelled", r"\|.*", "")), ["block", "spelled"], "plain", weights, threshold)
-    other = posted.select("block", "gram", F.col("spelled").alias("other"))
-    pairs = posted.join(other, ["block", "gram"]).where("spelled < other").select("block", "spelled", "other").distinct()
+    records, nodes, pairs = near_names(df, item, name, block, threshold, hint)
+    return cluster_names(records, pairs, learn_first_names(nodes, _hinted(pairs)), linkage)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kept, scores = [], []
-            for i, (x, y) in enumerate(zip(b["spelled"], b["other"], strict=True)):
-                if same_person(_unspelled(x), _unspelled(y), first_names.value) > 0:
-                    c = cosine(x.partition("|")[0], y.partition("|")[0], weights.value)
-                    if c >= threshold:
-                        kept.append(i)
-                        scores.append(c)
-            out = b.iloc[kept].copy()
-            out["similarity"] = np.array(scores, dtype=np.float64)
-            yield out
 
-    block_kind = dict(nodes.dtypes)["block"]
-    close = pairs.repartition("spelled", "other").mapInPandas(score, f"block {block_kind}, spelled string, other string, similarity double")
-    node = lambda c: F.concat_ws("\x1f", F.col("block").cast("string"), c)
-    clusters = average_linkage(stage(close.select(node("spelled").alias("a"), node("other").alias("b"), "similarity"), "close"), linkage)
-    placed = records.withColumn("node", node("spelled"))
-    return placed.join(clusters, "node", "left").select("id", F.coalesce("cluster", "node").alias("cluster"))
+def _hinted(pairs: DataFrame) -> DataFrame:
+    return relatives(pairs, "a_spelled", "b_spelled", F.col("a_hint") == F.col("b_hint"))
 
 
 def _pairs(clusters: DataFrame) -> DataFrame:
@@ -173,39 +301,57 @@ def _pairs(clusters: DataFrame) -> DataFrame:
 
 
 def _parsed_firms(firms: DataFrame, columns: str) -> DataFrame:
-    """``columns`` (among them ``typed``), core (the words), legal (the form) and whole (words, initials, words together) of real firms."""
+    """``columns`` (among them ``typed``), core (the words) and legal (the form) of real firms."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             parts = [firm_parts(x) for x in b["typed"]]
             b["core"] = [" ".join(w) for w, _ in parts]
             b["legal"] = [x for _, x in parts]
-            b["whole"] = [f"{c} {''.join(w[0] for w in c.split())} {c.replace(' ', '')}" if " " in c else c for c in b["core"]]
             yield b[[c != "" and c.replace(" ", "") not in NO_COMPANY for c in b["core"]]]
 
-    return firms.mapInPandas(parse, f"{columns}, core string, legal string, whole string")
+    return firms.mapInPandas(parse, f"{columns}, core string, legal string")
+
+
+def _written(cores: DataFrame, initials: bool) -> DataFrame:
+    """core, text of each way in which a firm's words are written: as they are, together, and by their initials."""
+    words = F.split("core", " ")
+    ways = [F.col("core"), F.regexp_replace("core", " ", "")] + ([F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")] if initials else [])
+    return cores.select("core", F.explode(F.array_distinct(F.array(*ways))).alias("text")).distinct()
+
+
+def _near_firms(ours: DataFrame, theirs: DataFrame | None, weights: Broadcast, threshold: float) -> DataFrame:
+    """core, other, similarity: the highest cosine of any two ways of writing them, from ``threshold``. ours, theirs: core, text."""
+    texts = lambda x: x.select(F.lit("").alias("block"), "text").distinct()
+    near = near_texts(texts(ours), None if theirs is None else texts(theirs), weights, threshold)
+    left, right = ours.withColumnRenamed("text", "a"), (ours if theirs is None else theirs).select(F.col("core").alias("other"), F.col("text").alias("b"))
+    met = near.join(left, "a").join(right, "b")
+    if theirs is None:
+        met = met.where("core <> other").select(F.least("core", "other").alias("core"), F.greatest("core", "other").alias("other"), "similarity")
+    return met.groupBy("core", "other").agg(F.max("similarity").alias("similarity"))
 
 
 def link_firms(typed: DataFrame, company: str, listed: DataFrame, key: str, listed_name: str, threshold: float = FIRM_COSINE) -> DataFrame:
     """typed, key, firm: of every company as typed, the one listed firm it means, and a name that all spellings of one firm share.
 
-    A firm is meant where its words (shortened, run together, reordered or with slips, or their first letters) are
-    those typed at the least cost, and no other's at the same; legal forms break ties. ``key`` is null where no listed firm
+    A firm is meant where one way of writing it (its words, its words together, its initials) reaches the cosine with one of the
+    typed one's, and its words (shortened, run together, reordered or with slips) are those typed at the least cost, and no other's
+    at the same; legal forms break ties. ``key`` is null where no listed firm
     is meant; such spellings are clustered among themselves. Null and empty companies and words that stand for none have no row.
     """
     firms = stage(_parsed_firms(typed.where(F.col(company).isNotNull()).select(F.col(company).alias("typed")).distinct(), "typed string"), "firms")
     known = listed.where(F.col(listed_name).isNotNull() & F.col(key).isNotNull()).select(F.col(listed_name).alias("typed"), F.col(key).alias("key")).distinct()
     key_kind = dict(known.dtypes)["key"]
     known = stage(_parsed_firms(known, f"typed string, key {key_kind}").drop("typed"), "listed")
-    weights = typed.sparkSession.sparkContext.broadcast(gram_weights(known.select("whole").unionByName(firms.select("whole")), "whole"))
-    ours = _postings(firms, ["typed", "core", "legal"], "whole", weights, threshold)
-    theirs = _postings(known, ["key", "core", "legal", "whole"], "whole", weights, 0.0).select("key", "gram", F.col("core").alias("core2"), F.col("legal").alias("legal2"))
-    pairs = ours.join(theirs, "gram").select("typed", "core", "legal", "key", "core2", "legal2").distinct()
+    ours, theirs = stage(_written(firms.select("core").distinct(), False), "ours"), stage(_written(known.select("core").distinct(), True), "theirs")
+    weights = typed.sparkSession.sparkContext.broadcast(gram_weights(ours.select("text").unionByName(theirs.select("text")), "text"))
+    near = _near_firms(ours, theirs, weights, threshold)
+    pairs = near.join(firms, "core").join(known.select("key", F.col("core").alias("other"), F.col("legal").alias("legal2")), "other").select("typed", "core", "legal", "key", "other", "legal2")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             costs = []
-            for c, g, c2, g2 in zip(b["core"], b["legal"], b["core2"], b["legal2"], strict=True):
+            for c, g, c2, g2 in zip(b["core"], b["legal"], b["other"], b["legal2"], strict=True):
                 costs.append(firm_cost(c.split(), c2.split()) + 0.3 * (g != "" and g != g2) + 0.1 * (g == ""))
             b["cost"] = costs
             yield b[b["cost"] <= FIRM_COST][["typed", "key", "cost"]]
@@ -221,33 +367,35 @@ def link_firms(typed: DataFrame, company: str, listed: DataFrame, key: str, list
 
 
 def _cluster_firms(firms: DataFrame, weights: Broadcast, threshold: float) -> DataFrame:
-    """typed, firm (the least words of the cluster) of parsed firms."""
-    cores = firms.select("core").distinct()
-    posted = _postings(cores, ["core"], "core", weights, threshold)
-    pairs = posted.join(posted.withColumnRenamed("core", "other"), "gram").where("core < other").select("core", "other").distinct()
+    """typed, firm (the least words of the cluster) of parsed firms, clustered by their cosines where their words agree."""
+    near = _near_firms(stage(_written(firms.select("core").distinct(), False), "unlisted_ways"), None, weights, threshold)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            costs = [min(firm_cost(x.split(), y.split()), firm_cost(y.split(), x.split())) for x, y in zip(b["core"], b["other"], strict=True)]
-            near = b[[c <= FIRM_COST - 1 for c in costs]].copy()
-            near["similarity"] = [max(threshold, cosine(x, y, weights.value)) for x, y in zip(near["core"], near["other"], strict=True)]
-            yield near
+            yield b[[min(firm_cost(x.split(), y.split()), firm_cost(y.split(), x.split())) <= FIRM_COST - 1 for x, y in zip(b["core"], b["other"], strict=True)]]
 
-    edges = stage(pairs.mapInPandas(score, "core string, other string, similarity double").toDF("a", "b", "similarity"), "firm_pairs")
+    edges = stage(near.mapInPandas(check, "core string, other string, similarity double").toDF("a", "b", "similarity"), "firm_pairs")
     clusters = average_linkage(edges, LINKAGE)
     return firms.join(clusters, firms["core"] == clusters["node"], "left").select("typed", F.coalesce("cluster", "core").alias("firm"))
 
 
 def p4_found(spark, d: str) -> DataFrame:
-    """Records of one person or firm: kind, left_key, right_key."""
+    """Records of one person or firm: kind, left_key, right_key.
+
+    What first names are one is learned from the employees' roles, for the customers too, whose roles tell little.
+    """
     employees, customers, listed = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("herb_employee", "herb_customer", "org_reference"))
-    people = _pairs(link_names(employees, "employee_id", "name", "org")).select(F.lit("employee").alias("kind"), F.col("left").alias("left_key"), F.col("right").alias("right_key"))
+    keyed = lambda kind, pairs: pairs.select(F.lit(kind).alias("kind"), F.col("left").alias("left_key"), F.col("right").alias("right_key"))
+    records, nodes, pairs = near_names(employees, "employee_id", "name", "org", hint="role")
     firms = link_firms(customers, "company", listed, "org_id", "company")
     placed = stage(customers.join(firms, customers["company"] == firms["typed"]).select("id", "name", customers["company"], "key", "firm"), "placed")
+    client_records, client_nodes, client_pairs = near_names(placed, "id", "name", "firm")
+    every = stage(nodes.select("spelled").unionByName(client_nodes.select("spelled")), "names")
+    first_names = learn_first_names(every, _hinted(pairs))
+    people, clients = _pairs(cluster_names(records, pairs, first_names)), _pairs(cluster_names(client_records, client_pairs, first_names))
     exact = listed.select(F.col("org_id").alias("key"), F.col("company").alias("exact")).distinct()
     written = placed.where("key IS NOT NULL AND id IS NOT NULL").join(exact, "key").where("company <> exact").select(F.lit("company").alias("kind"), F.col("id").alias("left_key"), F.col("key").alias("right_key"))
-    clients = _pairs(link_names(placed, "id", "name", "firm")).select(F.lit("customer").alias("kind"), F.col("left").alias("left_key"), F.col("right").alias("right_key"))
-    return people.unionByName(clients).unionByName(written).distinct()
+    return keyed("employee", people).unionByName(keyed("customer", clients)).unionByName(written).distinct()
 
 
 QUERIES = {"p4_found": p4_found}

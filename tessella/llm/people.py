@@ -17,22 +17,6 @@ _LEGAL = sorted(
 )
 #: What a company field holds where there is no company.
 NO_COMPANY = frozenset(("", "na", "none", "null", "nil", "unknown", "selfemployed", "freelance", "freelancer", "independent", "private", "nocompany", "tbd", "tbc", "notset"))
-#: Common short forms of first names, beside those that the data itself show.
-SHORT_FORMS = {
-    "abigail": "abby gail", "alexander": "alex sandy sasha", "alexandra": "alex sandy sasha", "aleksandra": "ola sasha", "amelie": "amy", "andrew": "andy drew", "anthony": "tony", "benjamin": "ben benny", "catherine": "cathy kate katie", "charles": "charlie chuck", "charlotte": "charlie lottie", "christopher": "chris kit", "daniel": "dan danny", "deborah": "debbie deb",
-    "dmitri": "dima mitya", "dorothy": "dot dottie", "edward": "ed eddie ned ted", "eleanor": "ellie nell nora", "elizabeth": "beth betty eliza liz lizzie", "francisco": "paco pancho", "frederick": "fred freddy", "gabriella": "ella gabby gabi", "gabriela": "gabby gabi gabriella", "giuseppe": "beppe pino", "gregory": "greg", "guadalupe": "lupe", "ignacio": "nacho", "isabel": "bel isa", "james": "jamie jim jimmy", "jennifer": "jen jenny",
-    "johannes": "hannes jo", "jonathan": "jon", "jose": "pepe", "joseph": "joe joey", "joshua": "josh", "katherine": "kate kathy katie", "konstantin": "kostya", "lorenzo": "renzo", "malgorzata": "gosia", "margaret": "maggie meg peggy", "matthew": "matt", "maximilian": "max", "michael": "mick mike", "natalia": "natasha", "nicholas": "nick nico", "patricia": "pat patty tricia", "patrick": "paddy pat", "philip": "phil", "rebecca": "becca becky",
-    "richard": "dick rick", "robert": "bob bobby rob", "roberto": "beto", "samuel": "sam", "sebastian": "basti bastian seb", "stephen": "steve", "steven": "steve", "susan": "sue susie", "tatiana": "tanya", "theodore": "ted teddy theo", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky", "vladimir": "vova", "william": "bill billy will", "yevgeniya": "zhenya", "zoltan": "zoli",
-}
-
-
-#: First names that differ by a letter or two from that of a brother or sister, and are no slips.
-SIBLINGS = frozenset(
-    "adrian adriana alexander alexandra andre andrea andreas anton antonia antonio carl carla carlo carlos christian christina christine claude claudia claudio daniel daniela dominic dominica emil emilia emily eric erica fernanda fernando frances francesca francesco francis francisca francisco gabriel gabriela "
-    "gabriella george georgia giovanna giovanni ivan ivana jan jana jean jeanne joan joanna johan johanna joseph josephine julia julian juliana julius justin justina leon leona louis louisa louise luca lucas lucia lucian luis luisa marcel marcella marcus maria marie marin marina mario martin martina michael michaela "
-    "michel michelle nicola nicole nikola oliver olivia patricia patrick paul paula paulina pavel pavla peter petra philip philippa robert roberta roberto roman romana silvia silvio simon simona simone stefan stefania stephan stephanie stephen thomas valentin valentina victor victoria viktor viktoria vincent vincenza yves yvette".split()
-)
-
 
 def fold(text: str | None) -> str:
     """Lower case, marks off; other letters than a-z stand for one of them, so that all names share one small alphabet."""
@@ -102,17 +86,15 @@ def alike(a: str, b: str) -> bool:
 
 
 class FirstNames:
-    """Which words are first names in their own right, and which short forms belong together.
-
-    ``common`` and ``pairs`` come from the data; ``SHORT_FORMS`` are added.
-    """
+    """Which words are first names in their own right, which are forms of one name, and which tell relatives apart; all learned from the data."""
 
-    def __init__(self, common: set[str], pairs: set[tuple[str, str]]) -> None:
-        self.common = common | SIBLINGS
+    def __init__(self, common: set[str], pairs: set[tuple[str, str]], apart: set[tuple[str, str]] = frozenset()) -> None:
+        self.common = common
         self.short: set[tuple[str, str]] = set(pairs) | {(b, a) for a, b in pairs}
-        for full, shorts in SHORT_FORMS.items():
-            for s in shorts.split():
-                self.short |= {(full, s), (s, full)}
+        self.apart: set[tuple[str, str]] = set(apart) | {(b, a) for a, b in apart}
+        self.forms: dict[str, set[str]] = {}
+        for a, b in self.short:
+            self.forms.setdefault(a, set()).add(b)
 
     def same(self, a: str, b: str) -> float:
         """How well two first names agree: 1 equal, 0 not at all."""
@@ -122,13 +104,13 @@ class FirstNames:
             return 0.9
         if len(a) == 1 or len(b) == 1:
             return 0.6 if a[:1] == b[:1] else 0.0
-        if a in self.common and b in self.common:
+        if (a in self.common and b in self.common) or (a, b) in self.apart:
             return 0.0  # Daniel isn't Daniela
         room = max(min(typo_room(a), typo_room(b)), 1 if min(len(a), len(b)) >= 3 else 0)
         d = distance(a, b, room)
         if d <= room:
             return 0.9 if d == 1 else 0.75
-        return 0.7 if any(alike(a, x) for x, y in self.short if y == b) or any(alike(b, x) for x, y in self.short if y == a) else 0.0
+        return 0.7 if any(alike(a, x) for x in self.forms.get(b, ())) or any(alike(b, x) for x in self.forms.get(a, ())) else 0.0
 
 
 def same_person(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]], first_names: FirstNames) -> float:
@@ -141,7 +123,7 @@ def same_person(a: tuple[list[str], list[str]], b: tuple[list[str], list[str]],
     best = 0.0
     for la, fa in ((wa[-1], wa[0]), (wa[0], wa[-1])):
         for lb, fb in ((wb[-1], wb[0]), (wb[0], wb[-1])):
-            if len(la) < 3 or len(lb) < 3 or (la != lb and (la in first_names.common or lb in first_names.common)):
+            if len(la) < 3 or len(lb) < 3 or (la, lb) in first_names.apart or (la != lb and (la in first_names.common or lb in first_names.common)):
                 continue
             d = distance(la, lb, 2)
             if d > min(typo_room(la), typo_room(lb)):
