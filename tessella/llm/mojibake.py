@@ -3,7 +3,8 @@
 Three steps over the whole corpus. Pairs of adjacent characters are counted into a table of fixed size. Each
 text's pairs are then scored by mutual information, and the maximum-scoring segments of improbable pairs, widened
 to the words that hold them, are its runs. Inverse mappings are tried inside those runs alone, and one is taken where
-the restored run is likelier, under the same counts, than the run as it stands.
+the restored run is likelier, under the same counts, than the run as it stands. In a text that is garbled in a run, less
+improbable runs are looked at as well.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 #: Sizes of the hashed tables of pairs and of single characters; the counts' size is bounded by them, not by the corpus.
 PAIRS, SINGLES = 1 << 21, 1 << 16
-#: Bits of squared mutual information under which a pair is improbable.
-IMPROBABLE = -9.0
+#: Bits of squared mutual information under which a pair is improbable: at first, and in a text that is garbled in one of its runs.
+IMPROBABLE, DOUBTFUL = -13.0, -9.0
 #: Bits by which a restored text must be likelier: where the bytes are valid UTF-8, and where only one table was taken for another.
 MARGIN_UTF8, MARGIN_TABLE = 2.0, 8.0
 #: Cases that a character's own share in the corpus counts for among those of what precedes it.
@@ -96,15 +97,16 @@ class Model:
         total = max(1, int(singles.sum()))
         self._pairs, self._singles, self._total = pairs, singles, total
         # what the corpus lacks is unlikely, not impossible
-        self.pair = np.log2((pairs + 0.5) / total).astype(np.float32)
+        # a pair seen once is no sign that its characters belong together
+        self.pair = np.log2((np.maximum(pairs - 1, 0) + 0.25) / total).astype(np.float32)
         self.single = np.log2((singles + 1.0) / total).astype(np.float32)
         self._bits: dict[str, float] = {}
         self.utf8: dict[str, str | None] = {}
         self.gains: dict[str, np.ndarray] = {}
 
-    def improbable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Of each pair, the bits by which its squared mutual information, log p(ab)^2 / p(a) p(b), is too low."""
-        return IMPROBABLE - (2 * self.pair[_pair_keys(a, b)] - self.single[_single_keys(a)] - self.single[_single_keys(b)])
+    def improbable(self, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+        """Of each pair, the bits by which its squared mutual information, log p(ab)^2 / p(a) p(b), is under ``least``."""
+        return least - (2 * self.pair[_pair_keys(a, b)] - self.single[_single_keys(a)] - self.single[_single_keys(b)])
 
     def bits(self, two: str) -> float:
         """log p of the second character after the first; what follows a rare one is as likely as it is anywhere."""
@@ -152,13 +154,12 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int]]:
     return done + [(a, b) for a, b, _, _ in stack]
 
 
-def improbable_runs(texts: list[str], model: Model) -> list[list[tuple[int, int]]]:
-    """Of each text, the words with characters beyond ASCII in which segments of improbable pairs lie."""
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    codes = _codes("\n" + "\n".join(texts) + "\n")
+def improbable_runs(text: str, model: Model, least: float = IMPROBABLE) -> list[tuple[int, int]]:
+    """The words with characters beyond ASCII of a text in which its maximal segments of improbable pairs lie, by itself."""
+    codes = _codes(f"\n{text}\n")
     high = np.flatnonzero(codes > 127)
     if not len(high):
-        return out
+        return []
     gaps = np.flatnonzero((codes == 32) | (codes == 10) | (codes == 13) | (codes == 9) | (codes == 0x3000))
     word = np.unique(np.searchsorted(gaps, high))
     starts, ends = gaps[word - 1] + 1, gaps[word]
@@ -166,17 +167,13 @@ def improbable_runs(texts: list[str], model: Model) -> list[list[tuple[int, int]
     sizes = ends - starts + 1
     first = np.concatenate(([0], np.cumsum(sizes)))
     at = np.arange(first[-1]) - np.repeat(first[:-1] - starts + 1, sizes)
-    segments = maximal_segments(model.improbable(codes[at], codes[at + 1]))
+    segments = maximal_segments(model.improbable(codes[at], codes[at + 1], least))
     if not segments:
-        return out
+        return []
     seg = np.array(segments)
     k = np.searchsorted(seg[:, 1], first[:-1], side="right")  # the first segment that ends in the word or later
     touched = (k < len(seg)) & (seg[np.minimum(k, len(seg) - 1), 0] < first[1:])
-    begin = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))) + 1
-    own = np.searchsorted(begin, starts, side="right") - 1
-    for t, s, e in zip(own[touched].tolist(), starts[touched].tolist(), ends[touched].tolist(), strict=True):
-        out[t].append((s - int(begin[t]), e - int(begin[t])))
-    return out
+    return [(s - 1, e - 1) for s, e in zip(starts[touched].tolist(), ends[touched].tolist(), strict=True)]
 
 
 def _as_utf8(run: str, table: str) -> str | None:
@@ -299,7 +296,7 @@ def restored(text: str, runs: list[tuple[int, int]], model: Model) -> tuple[bool
             out += [text[at:s], x]
             at = e
     made = "".join(out) + text[at:]
-    return made != text or "\ufffd" in text, made
+    return made != text or any("\ufffd" in text[s:e] for s, e in runs), made
 
 
 def _unescaped(text: str) -> str:
@@ -307,15 +304,17 @@ def _unescaped(text: str) -> str:
     return _ENTITY.sub(lambda m: c if len(c := html.unescape(m.group())) == 1 and c > "\x7f" else m.group(), text)
 
 
-def restore_batch(texts: list[str], model: Model) -> list[tuple[bool, str]]:
-    """``restored`` of each text; where entities stand in a text, of the text with them written out, if it is garbled then."""
-    out = [restored(t, r, model) for t, r in zip(texts, improbable_runs(texts, model), strict=True)]
-    for i, t in enumerate(texts):
-        if "&" in t and (plain := _unescaped(t)) != t:
-            found = restored(plain, improbable_runs([plain], model)[0], model)
-            if found[0] and found[1] != plain:
-                out[i] = found
-    return out
+def restore_text(text: str, model: Model) -> tuple[bool, str]:
+    """``restored`` of a text by its improbable runs, and, if it is garbled in one, by its doubtful ones too.
+
+    Where entities stand in it, it is that of the text with them written out, if it is garbled then.
+    """
+    for x in (_unescaped(text), text) if "&" in text else (text,):
+        garbled, made = restored(x, improbable_runs(x, model), model)
+        if garbled and (x == text or made != x):
+            again = restored(x, improbable_runs(x, model, DOUBTFUL), model)
+            return True, again[1] if again[0] else made
+    return False, text
 
 
 def find_garbled(df: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -331,14 +330,11 @@ def find_garbled(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(*tables.value)
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                texts = part[text].tolist()
-                found = restore_batch(texts, model)
-                garbled = [i for i, (g, _) in enumerate(found) if g]
-                out = part.iloc[garbled][keep].copy()
-                out["restored"] = pd.Series([found[i][1] if found[i][1] != texts[i] else None for i in garbled], index=out.index, dtype=object)
-                yield out
+            found = [restore_text(t, model) for t in b[text]]
+            garbled = [i for i, (g, _) in enumerate(found) if g]
+            out = b.iloc[garbled][keep].copy()
+            out["restored"] = pd.Series([found[i][1] if found[i][1] != b[text].iloc[i] else None for i in garbled], index=out.index, dtype=object)
+            yield out
 
     maybe = F.col(text).rlike(r"[^\x00-\x7F]|&[A-Za-z#]")
     return df.select(*keep, text).where(maybe).mapInPandas(run, fields + ", restored string")

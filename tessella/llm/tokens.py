@@ -22,7 +22,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text that are looked at together.
-WINDOW = 1 << 16
+WINDOW = 2048
 #: Pieces at a window's end that more text could change: the last one, and before it the quote of a contraction.
 UNSETTLED = 2
 
@@ -85,8 +85,6 @@ class Vocabulary:
         """The ids of a text; of null and empty ones none."""
         if not text:
             return []
-        if len(text) <= window:
-            return self.encoding.encode_ordinary(text)
         encoder = Encoder(self, window)
         ids = [i for at in range(0, len(text), window) for i in encoder.feed(text[at : at + window])]
         return ids + encoder.finish()

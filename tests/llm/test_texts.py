@@ -131,6 +131,15 @@ def test_garbled_texts_are_found_and_restored(spark, corpus):
     assert by["mac_1252"] == CLEAN[2] and by["1251_1252"] == CLEAN[4] and by["lost"] is None and by["entity"] == "für die Größe"
 
 
+def test_most_sound_words_lie_in_no_run(spark, corpus):
+    df, bad = corpus
+    model = mojibake.Model(*mojibake.pair_counts(df, "text"))
+    assert all(mojibake.improbable_runs(t, model) for t in bad.values() if "&" not in t)
+    sound = [(w, t) for t in CLEAN for w in t.split() if not w.isascii()]
+    in_runs = sum(len(mojibake.improbable_runs(t, model)) for t in CLEAN)
+    assert in_runs < len(sound) / 2
+
+
 def test_no_garbled_texts_in_nothing(spark, corpus):
     assert mojibake.find_garbled(corpus[0].where("false"), ["doc_id"], "text").count() == 0
 
@@ -192,6 +201,7 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     links, classes = neardup.near_duplicates(df, "doc_id", "text", width=3, tenths=6, least_words=30)
     got, want = found(links, classes), expected(data, 3, 6, 30)
     assert got <= want and len(want - got) <= 0.01 * len(want)
+    assert found(*neardup.near_duplicates(df, "doc_id", "text", width=3, tenths=6, least_words=30, exact=True)) == want
 
 
 def test_regions_that_are_too_large_lose_nothing(spark, monkeypatch):
