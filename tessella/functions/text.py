@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 #: Words that a lexical query leaves out.
 STOPWORDS = (
-    "a", "about", "after", "all", "an", "and", "are", "as", "at", "be", "but", "by", "can", "did", "do", "does", "for", "from", "has", "have", "how", "if", "in", "into", "is", "it", "its", "no", "not", "of", "on", "or", "our", "should", "that", "the", "their", "there", "these", "this", "to", "was", "we", "were", "what", "when", "where", "which", "who", "why", "will", "with", "you",
+    "a", "an", "and", "are", "as", "at", "be", "by", "did", "do", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "the", "to", "was", "were", "what", "when", "where", "which", "who", "why", "with",
 )
 #: What a question without any word to look for asks about.
 DEFAULT_TERM = "enterprise"

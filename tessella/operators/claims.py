@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.ids import canonical_json, stable_id
-from tessella.functions.text import collapsed
+from tessella.functions.text import collapsed, nfkc
 
 KEYS = ("subject", "predicate", "value", "valid_from", "valid_to")
 
@@ -47,65 +47,93 @@ def corroborations(claims: DataFrame) -> DataFrame:
 
 
 def answer_groups(claims: DataFrame) -> DataFrame:
-    """subject, predicate, answer (in collapsed form), label (its least spelling), claims, sources."""
-    return claims.groupBy("subject", "predicate", collapsed(F.col("value")).alias("answer")).agg(F.min("value").alias("label"), F.count_distinct("claim").alias("claims"), F.count_distinct("source").alias("sources"))
+    """subject, predicate, answer (a normal form with its type in front), label (its least spelling), claims, sources.
+
+    Entities are named by their id, texts in compatibility form, collapsed, and other literals as they are.
+    """
+    kind = F.lower(F.coalesce(F.col("datatype"), F.lit("string"))) if "datatype" in claims.columns else F.lit("string")
+    text = kind.isin("string", "text")
+    answer = F.when(text, collapsed(nfkc(F.col("value")))).otherwise(F.trim("value"))
+    return claims.groupBy("subject", "predicate", F.concat(F.when(text, "string").otherwise(kind), F.lit(":"), answer).alias("answer")).agg(F.min("value").alias("label"), F.count_distinct("claim").alias("claims"), F.count_distinct("source").alias("sources"))
 
 
-def relation(left: str = "l", right: str = "r") -> Column:
-    """What two claims of one subject and predicate are to each other: equivalent, corroboration, supersession or contradiction."""
+def relation(left: str = "l", right: str = "r", aligned: Column | None = None) -> Column:
+    """What two claims are to each other: equivalent, corroboration, supersession, contradiction, or incomparable where they aren't ``aligned``.
+
+    Values are the same if their datatypes are too. ``aligned`` says whether subject and predicate are (by default: they are).
+    """
     at = lambda side, c: F.col(f"{side}_{c}")
-    same = at(left, "value").eqNullSafe(at(right, "value"))
     over = (at(left, "valid_to") <= at(right, "valid_from")) | (at(right, "valid_to") <= at(left, "valid_from"))
-    return F.when(same & (at(left, "source") == at(right, "source")), "equivalent").when(same, "corroboration").when(F.coalesce(over, F.lit(False)), "supersession").otherwise("contradiction")
+    same = equal_objects(left, right)
+    kinds = F.when(same & at(left, "source").eqNullSafe(at(right, "source")), "equivalent").when(same, "corroboration").when(F.coalesce(over, F.lit(False)), "supersession").otherwise("contradiction")
+    return kinds if aligned is None else F.when(~F.coalesce(aligned, F.lit(False)), "incomparable").otherwise(kinds)
 
 
-def _paired(claims: DataFrame, group: list[str]) -> DataFrame:
-    fields = ["claim", "value", "source", "system", "observed", "valid_from", "valid_to"]
-    side = lambda x: claims.select(*group, *(F.col(f).alias(f"{x}_{f}") for f in fields))
-    pairs = side("l").join(side("r"), group).where("l_claim < r_claim AND l_system <> r_system AND NOT (l_value <=> r_value)")
-    return pairs.withColumn("relation", relation())
+def equal_objects(left: str = "l", right: str = "r") -> Column:
+    """Whether two claims' values are the same, of the same datatype; nulls are equal."""
+    return F.col(f"{left}_value").eqNullSafe(F.col(f"{right}_value")) & F.col(f"{left}_datatype").eqNullSafe(F.col(f"{right}_datatype"))
 
 
-def conflicts(claims: DataFrame, group: list[str]) -> DataFrame:
-    """Pairs of different values of a group, by different systems: group, l_/r_ columns and relation.
-
-    Values meet, not rows: of each value of a system in the group its last claim stands for it, so a group pairs as many rows as it
-    has different values. The others may have another source and validity, and so another relation: ``conflict_pairs`` has them all.
-    """
-    best = Window.partitionBy(*group, "value", "system").orderBy(F.col("observed").desc_nulls_last(), F.col("claim").asc())
-    return _paired(claims.withColumn("__k", F.row_number().over(best)).where("__k = 1"), group)
+#: What is compared of a claim.
+COMPARED = ("claim", "value", "datatype", "source", "system", "observed", "valid_from", "valid_to")
 
 
-def conflict_pairs(claims: DataFrame, group: list[str]) -> DataFrame:
-    """All pairs of claims of a group with different values, of different sources and systems: as ``conflicts``, none left out.
+def conflicts(claims: DataFrame, group: list[str]) -> DataFrame:
+    """All pairs of claims of a group with different values, of different sources and systems: group, l_/r_ columns and relation.
 
-    A group costs its pairs, since they are the result. A claim without a source is of a source of its own.
+    No claim stands for another: a group costs its pairs, since they are the result. A claim without a source is of a source of its own.
     """
-    return _paired(claims, group).where("NOT coalesce(l_source = r_source, false)")
+    side = lambda x: claims.select(*group, *(F.col(f).alias(f"{x}_{f}") for f in COMPARED))
+    pairs = side("l").join(side("r"), group).where("l_claim < r_claim AND l_system <> r_system AND NOT coalesce(l_source = r_source, false)")
+    return pairs.where(~equal_objects()).withColumn("relation", relation())
 
 
-def adjudicate(pairs: DataFrame, trust: DataFrame) -> DataFrame:
-    """pairs with ``winner`` (left, right or unresolved) and ``decided_by``: the first decisive of authority, then recency.
+def adjudicate(pairs: DataFrame, trust: DataFrame, lifecycles: DataFrame | None = None, recency: DataFrame | None = None) -> DataFrame:
+    """pairs with ``winner`` (left, right or unresolved) and ``decided_by``: the first decisive tier of authority, lifecycle, recency.
 
-    ``trust`` has predicate, system, priority; it is a rule table that Spark sends to all tasks if it is small.
+    trust: predicate, system, priority. Where a side has none, authority can't compare them. lifecycles: predicate, lifecycle, rank; it
+    counts where both sides' lifecycle (l_lifecycle, r_lifecycle) is grounded, that is, not null. recency: the predicates with a policy
+    that newer claims win; without this table they win where both sides have the same priority. ``decided_by`` of unresolved pairs is
+    ``no_policy`` where no table has anything for both sides, else ``no_decisive_rule``. All three are tables of rules, which Spark sends to all tasks if they are small.
     """
     t = lambda x: trust.select("predicate", F.col("system").alias(f"{x}_system"), F.col("priority").alias(f"{x}_priority"))
     joined = pairs.join(t("l"), ["predicate", "l_system"], "left").join(t("r"), ["predicate", "r_system"], "left")
-    by_trust = F.when(F.col("l_priority") > F.col("r_priority"), "left").when(F.col("r_priority") > F.col("l_priority"), "right")
-    by_time = F.when(F.col("l_observed") > F.col("r_observed"), "left").when(F.col("r_observed") > F.col("l_observed"), "right")
-    decided = F.when(by_trust.isNotNull(), "authority").when(by_time.isNotNull(), "recency").otherwise(F.when(F.col("l_priority").isNull() & F.col("r_priority").isNull(), "no_policy").otherwise("no_decisive_rule"))
-    return joined.withColumn("winner", F.coalesce(by_trust, by_time, F.lit("unresolved"))).withColumn("decided_by", decided)
+    wins = lambda a, b: F.when(F.col(a) > F.col(b), "left").when(F.col(b) > F.col(a), "right")
+    comparable = F.col("l_priority").isNotNull() & F.col("r_priority").isNotNull()
+    by_stage, ranked = F.lit(None).cast("string"), F.lit(False)
+    if lifecycles is not None:
+        for x in "lr":
+            joined = joined.join(lifecycles.select("predicate", F.col("lifecycle").alias(f"{x}_lifecycle"), F.col("rank").alias(f"{x}_rank")), ["predicate", f"{x}_lifecycle"], "left")
+        by_stage, ranked = wins("l_rank", "r_rank"), F.col("l_rank").isNotNull() & F.col("r_rank").isNotNull()
+    timely = F.col("l_priority") == F.col("r_priority")
+    if recency is not None:
+        joined = joined.join(recency.select("predicate", F.lit(True).alias("recent")).distinct(), "predicate", "left")
+        timely = F.col("recent")
+    by_trust, by_time = wins("l_priority", "r_priority"), F.when(timely, wins("l_observed", "r_observed"))
+    none = ~(comparable | ranked | F.coalesce(timely, F.lit(False)))
+    decided = F.when(by_trust.isNotNull(), "authority").when(by_stage.isNotNull(), "lifecycle").when(by_time.isNotNull(), "recency").when(none, "no_policy").otherwise("no_decisive_rule")
+    return joined.withColumn("winner", F.coalesce(by_trust, by_stage, by_time, F.lit("unresolved"))).withColumn("decided_by", decided)
+
+
+def losers(adjudicated: DataFrame, group: list[str]) -> DataFrame:
+    """group, claim of the claims that lose a pair, each once."""
+    lost = F.when(F.col("winner") == "left", F.col("r_claim")).when(F.col("winner") == "right", F.col("l_claim"))
+    return adjudicated.select(*group, lost.alias("claim")).where("claim IS NOT NULL").distinct()
 
 
 def verdicts(groups: DataFrame) -> DataFrame:
-    """groups with ``verdict``: from identity, open conflicts, claims and covered, in this order of precedence.
+    """groups with ``verdict``, ``reason`` and ``answers``: from identity, open conflicts, claims and covered, in this order of precedence.
 
-    Expects booleans ``identified``, ``covered`` and counts ``claims``, ``open_conflicts``; nulls count as false and 0.
+    Expects booleans ``identified``, ``covered`` and counts ``claims``, ``open_conflicts``, ``lost`` (claims that lost a conflict); nulls
+    count as false and 0. ``answers`` counts the claims that a supported answer rests on: those that lost none.
     """
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    verdict = F.when(~yes("identified"), "UNKNOWN").when(n("open_conflicts") > 0, "DISPUTED").when(n("claims") > 0, "SUPPORTED").when(yes("covered"), "NOT_FOUND").otherwise("UNKNOWN")
-    return groups.withColumn("verdict", verdict)
+    pick = lambda unnamed, disputed, supported, absent, unknown: F.when(~yes("identified"), unnamed).when(n("open_conflicts") > 0, disputed).when(n("claims") > 0, supported).when(yes("covered"), absent).otherwise(unknown)
+    lost = n("lost") if "lost" in groups.columns else F.lit(0)
+    out = groups.withColumn("verdict", pick("UNKNOWN", "DISPUTED", "SUPPORTED", "NOT_FOUND", "UNKNOWN"))
+    out = out.withColumn("reason", pick("identity_missing", "claims_disputed", "claim_supported", "evidence_absent", "coverage_incomplete"))
+    return out.withColumn("answers", F.when(F.col("verdict") == "SUPPORTED", n("claims") - lost).otherwise(0))
 
 
 def ablations(groups: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessella.functions.text import slug
 from tessella.operators import claims as C
 from tessella.plans import table
+from tessella.staging import stage
 
 _TIME = r"^\d{4}-\d{2}-\d{2}([T ].*)?$"
 
@@ -16,7 +17,7 @@ def _claims(spark, d):
     t = F.trim("observed_at")
     observed = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(_TIME), t).try_cast("timestamp")
     return table(spark, d, "claim").select(
-        F.col("claim_id").alias("observation"), F.col("subject_entity_id").alias("subject"), slug(F.col("predicate")).alias("predicate"), F.trim("object_value").alias("value"), F.col("source_object_id").alias("source"),
+        F.col("claim_id").alias("observation"), F.col("subject_entity_id").alias("subject"), slug(F.col("predicate")).alias("predicate"), F.trim("object_value").alias("value"), F.lower(F.trim("datatype")).alias("datatype"), F.col("source_object_id").alias("source"),
         F.lower(F.trim("source_system")).alias("system"), "extractor_version", "valid_from", "valid_to", observed.alias("observed"),
     ).where("subject IS NOT NULL AND value <> ''").distinct()
 
@@ -65,6 +66,7 @@ def _conflicts(spark, d):
 
 
 def conflict_discovery(spark, d):
+    """Conflicts of all claims."""
     return _conflicts(spark, d).select("subject", "predicate", "l_claim", "r_claim", "relation")
 
 
@@ -72,39 +74,51 @@ def conflict_adjudication(spark, d):
     return C.adjudicate(_conflicts(spark, d), _trust(spark, d)).select("subject", "predicate", "l_claim", "r_claim", "relation", "winner", "decided_by")
 
 
-def _pairs(spark, d):
-    return C.conflict_pairs(_claims(spark, d).withColumnRenamed("observation", "claim"), ["subject", "predicate"])
+def tiered_adjudication(spark, d):
+    """The same with a lifecycle tier, by extraction method (manual over structural over llm), and a recency policy for two predicates."""
+    methods = spark.createDataFrame([("llm", 0), ("structural", 1), ("manual", 2)], "lifecycle string, rank int")
+    predicates = _trust(spark, d).select("predicate").distinct()
+    recent = predicates.where(F.col("predicate").isin("approver", "region"))
+    own = lambda x: table(spark, d, "claim").groupBy(F.col("claim_id").alias(f"{x}_claim")).agg(F.min("extraction_method").alias(f"{x}_lifecycle"))
+    pairs = _conflicts(spark, d).join(own("l"), "l_claim").join(own("r"), "r_claim")
+    found = C.adjudicate(pairs, _trust(spark, d), predicates.crossJoin(F.broadcast(methods)), recent)
+    return found.groupBy("predicate", "winner", "decided_by").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-def conflict_pairs(spark, d):
-    """Conflicts of all claims; ``conflict_discovery`` has those of each system's last claim of a value."""
-    return _pairs(spark, d).select("subject", "predicate", "l_claim", "r_claim", "relation")
-
-
-def conflict_pair_decisions(spark, d):
-    return C.adjudicate(_pairs(spark, d), _trust(spark, d)).select("subject", "predicate", "l_claim", "r_claim", "relation", "winner", "decided_by")
+def _logged(spark, d):
+    """Logged comparisons with both claims' columns."""
+    c = table(spark, d, "claim").where("compared_claim_id IS NOT NULL").select("claim_id", "compared_claim_id", F.lower(F.trim("comparison_resolution")).alias("resolution")).distinct()
+    fields = ["subject", "predicate", "value", "datatype", "source", "system", "observed", "valid_from", "valid_to"]
+    side = lambda x: _claims(spark, d).select(F.col("observation").alias(f"{x}_claim"), *(F.col(f).alias(f"{x}_{f}") for f in fields))
+    return c.withColumnRenamed("claim_id", "l_claim").withColumnRenamed("compared_claim_id", "r_claim").join(side("l"), "l_claim").join(side("r"), "r_claim")
 
 
 def logged_comparisons(spark, d):
     """Comparisons as the table has them against those of authority and recency."""
-    c = table(spark, d, "claim").where("compared_claim_id IS NOT NULL").select("claim_id", "compared_claim_id", F.lower(F.trim("comparison_resolution")).alias("resolution")).distinct()
-    side = lambda x: _claims(spark, d).select(F.col("observation").alias(f"{x}_claim"), F.col("system").alias(f"{x}_system"), F.col("observed").alias(f"{x}_observed"), *([F.col("predicate")] if x == "l" else []))
-    pairs = c.withColumnRenamed("claim_id", "l_claim").withColumnRenamed("compared_claim_id", "r_claim").join(side("l"), "l_claim").join(side("r"), "r_claim")
+    pairs = _logged(spark, d).withColumn("predicate", F.col("l_predicate"))
     return C.adjudicate(pairs, _trust(spark, d)).groupBy("resolution", "winner", "decided_by").agg(F.count(F.lit(1)).alias("comparisons"))
 
 
+def compared_relations(spark, d):
+    """What logged pairs are to each other; of two subjects or predicates, incomparable."""
+    aligned = (F.col("l_subject") == F.col("r_subject")) & (F.col("l_predicate") == F.col("r_predicate"))
+    return _logged(spark, d).groupBy("resolution", C.relation(aligned=aligned).alias("relation")).agg(F.count(F.lit(1)).alias("comparisons"))
+
+
 def _groups(spark, d):
     """For each subject known to an entity table and each predicate: what ``verdicts`` asks."""
     c = _claims(spark, d)
-    claims = c.groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("claims"), F.max(F.col("system").isin("jira", "confluence", "github")).alias("identified"))
-    opened = C.adjudicate(_conflicts(spark, d), _trust(spark, d)).where("relation = 'contradiction' AND winner = 'unresolved'").groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("open_conflicts"))
+    claims = c.groupBy("subject", "predicate").agg(F.count_distinct("observation").alias("claims"))
+    decided = stage(C.adjudicate(_conflicts(spark, d), _trust(spark, d)).where("relation = 'contradiction'").select("subject", "predicate", "l_claim", "r_claim", "winner"), "decided")
+    opened = decided.where("winner = 'unresolved'").groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("open_conflicts"))
+    lost = C.losers(decided, ["subject", "predicate"]).groupBy("subject", "predicate").agg(F.count(F.lit(1)).alias("lost"))
     asked = c.select("subject").distinct().crossJoin(F.broadcast(_trust(spark, d).select("predicate").distinct()))
     known = c.groupBy("subject").agg(F.max(F.col("system").isin("jira", "confluence", "github")).alias("identified"), F.max("observed").isNotNull().alias("covered"))
-    return asked.join(claims.drop("identified"), ["subject", "predicate"], "left").join(opened, ["subject", "predicate"], "left").join(known, "subject")
+    return asked.join(claims, ["subject", "predicate"], "left").join(opened, ["subject", "predicate"], "left").join(lost, ["subject", "predicate"], "left").join(known, "subject")
 
 
 def verdicts(spark, d):
-    return C.verdicts(_groups(spark, d)).select("subject", "predicate", "verdict", F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("open_conflicts", F.lit(0)).alias("open_conflicts"))
+    return C.verdicts(_groups(spark, d)).select("subject", "predicate", "verdict", "reason", "answers", F.coalesce("claims", F.lit(0)).alias("claims"), F.coalesce("open_conflicts", F.lit(0)).alias("open_conflicts"))
 
 
 def ablation_matrix(spark, d):
@@ -112,41 +126,50 @@ def ablation_matrix(spark, d):
 
 
 def counterfactuals(spark, d):
-    """What would have to change for each verdict to be another."""
+    """What would have to change for each verdict to be another: the kind of change, and how many conflicts or claims it is about."""
     v = C.verdicts(_groups(spark, d))
-    need = F.when(F.col("verdict") == "DISPUTED", F.lit("a decision of the open conflicts")).when(F.col("verdict") == "SUPPORTED", F.lit("a claim that wins over the last")).when(F.col("verdict") == "NOT_FOUND", F.lit("a claim in a covered source")).when(~F.col("identified"), F.lit("an identified subject")).otherwise(F.lit("a covered source"))
-    return v.groupBy("predicate", "verdict", need.alias("requirement")).agg(F.count(F.lit(1)).alias("subjects"))
+    kind = F.when(F.col("reason") == "identity_missing", "resolve_identity").when(F.col("reason") == "claims_disputed", "resolve_conflict").when((F.col("reason") == "claim_supported") & (F.col("answers") == 1), "remove_only_claim").when(F.col("reason") == "claim_supported", "contradict_all_claims").when(F.col("reason") == "evidence_absent", "add_evidence").otherwise("complete_coverage")
+    about = F.when(F.col("reason") == "claims_disputed", F.col("open_conflicts")).when(F.col("reason") == "claim_supported", F.col("answers")).otherwise(0)
+    return v.groupBy("predicate", "verdict", kind.alias("change")).agg(F.count(F.lit(1)).alias("subjects"), F.sum(about).alias("about"))
 
 
-QUERIES = {f.__name__: f for f in (structural_claims, extraction_gaps, claim_consolidation, corroborated_statements, answer_groups, latest_observations, conflict_discovery, conflict_adjudication, conflict_pairs, conflict_pair_decisions, logged_comparisons, verdicts, ablation_matrix, counterfactuals)}
+QUERIES = {f.__name__: f for f in (structural_claims, extraction_gaps, claim_consolidation, corroborated_statements, answer_groups, latest_observations, conflict_discovery, conflict_adjudication, tiered_adjudication, logged_comparisons, compared_relations, verdicts, ablation_matrix, counterfactuals)}
 
 _SLUG = "regexp_replace(regexp_replace(lower(regexp_replace(trim({x}, ' '), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _COLLAPSE = "lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' '))"
 _T = "trim(observed_at, ' ')"
-_C = f"""WITH c AS (SELECT DISTINCT claim_id AS claim, subject_entity_id AS subject, {_SLUG.format(x="predicate")} AS predicate, trim(object_value, ' ') AS value, source_object_id AS source, lower(trim(source_system, ' ')) AS system, extractor_version, valid_from, valid_to,
+_C = f"""WITH c AS (SELECT DISTINCT claim_id AS claim, subject_entity_id AS subject, {_SLUG.format(x="predicate")} AS predicate, trim(object_value, ' ') AS value, lower(trim(datatype, ' ')) AS datatype, source_object_id AS source, lower(trim(source_system, ' ')) AS system, extractor_version, valid_from, valid_to,
   CASE WHEN regexp_matches({_T}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN try_cast({_T} || 'T00:00:00Z' AS TIMESTAMPTZ) WHEN regexp_matches({_T}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ].*)?$') THEN try_cast({_T} AS TIMESTAMPTZ) END AS observed
   FROM claim WHERE subject_entity_id IS NOT NULL AND trim(object_value, ' ') <> ''),
 t AS (SELECT {_SLUG.format(x="predicate")} AS predicate, lower(trim(source_system, ' ')) AS system, max(priority) AS priority FROM authority_policy GROUP BY ALL),
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate, value, system ORDER BY observed DESC NULLS LAST, claim) AS k FROM c) WHERE k = 1),
 p AS (SELECT l.subject, l.predicate, l.claim AS l_claim, r.claim AS r_claim, l.system AS l_system, r.system AS r_system, l.observed AS l_observed, r.observed AS r_observed,
   CASE WHEN coalesce(l.valid_to <= r.valid_from, false) OR coalesce(r.valid_to <= l.valid_from, false) THEN 'supersession' ELSE 'contradiction' END AS relation
-  FROM k l JOIN k r ON l.subject = r.subject AND l.predicate = r.predicate AND l.claim < r.claim AND l.system <> r.system AND l.value <> r.value),
+  FROM c l JOIN c r ON l.subject = r.subject AND l.predicate = r.predicate AND l.claim < r.claim AND l.system <> r.system AND NOT coalesce(l.source = r.source, false) AND (l.value IS DISTINCT FROM r.value OR l.datatype IS DISTINCT FROM r.datatype)),
 """
-_A = """{name} AS (SELECT {src}.*, CASE WHEN a.priority > b.priority THEN 'left' WHEN b.priority > a.priority THEN 'right' WHEN l_observed > r_observed THEN 'left' WHEN r_observed > l_observed THEN 'right' ELSE 'unresolved' END AS winner,
-  CASE WHEN a.priority <> b.priority THEN 'authority' WHEN l_observed <> r_observed THEN 'recency' WHEN a.priority IS NULL AND b.priority IS NULL THEN 'no_policy' ELSE 'no_decisive_rule' END AS decided_by
+_A = """{name} AS (SELECT {src}.*, CASE WHEN a.priority > b.priority THEN 'left' WHEN b.priority > a.priority THEN 'right' WHEN a.priority = b.priority AND l_observed > r_observed THEN 'left' WHEN a.priority = b.priority AND r_observed > l_observed THEN 'right' ELSE 'unresolved' END AS winner,
+  CASE WHEN a.priority IS NULL OR b.priority IS NULL THEN 'no_policy' WHEN a.priority <> b.priority THEN 'authority' WHEN l_observed <> r_observed THEN 'recency' ELSE 'no_decisive_rule' END AS decided_by
   FROM {src} LEFT JOIN t a ON a.predicate = {src}.predicate AND a.system = l_system LEFT JOIN t b ON b.predicate = {src}.predicate AND b.system = r_system)"""
 _ADJ = _C + _A.format(name="z", src="p")
-_EVERY = _C + """f AS (SELECT l.subject, l.predicate, l.claim AS l_claim, r.claim AS r_claim, l.system AS l_system, r.system AS r_system, l.observed AS l_observed, r.observed AS r_observed,
-  CASE WHEN coalesce(l.valid_to <= r.valid_from, false) OR coalesce(r.valid_to <= l.valid_from, false) THEN 'supersession' ELSE 'contradiction' END AS relation
-  FROM c l JOIN c r ON l.subject = r.subject AND l.predicate = r.predicate AND l.claim < r.claim AND l.system <> r.system AND NOT coalesce(l.source = r.source, false) AND l.value <> r.value)"""
+_TIERS = _C + """m(lifecycle, rank) AS (VALUES ('llm', 0), ('structural', 1), ('manual', 2)), e AS (SELECT claim_id, min(extraction_method) AS lifecycle FROM claim GROUP BY 1),
+w AS (SELECT p.*, a.priority AS pa, b.priority AS pb, CASE WHEN p.predicate IN (SELECT predicate FROM t) THEN ma.rank END AS ra, CASE WHEN p.predicate IN (SELECT predicate FROM t) THEN mb.rank END AS rb, p.predicate IN ('approver', 'region') AND p.predicate IN (SELECT predicate FROM t) AS recent
+  FROM p LEFT JOIN t a ON a.predicate = p.predicate AND a.system = l_system LEFT JOIN t b ON b.predicate = p.predicate AND b.system = r_system
+  JOIN e ea ON ea.claim_id = l_claim JOIN e eb ON eb.claim_id = r_claim LEFT JOIN m ma ON ma.lifecycle = ea.lifecycle LEFT JOIN m mb ON mb.lifecycle = eb.lifecycle)
+SELECT predicate, CASE WHEN pa > pb THEN 'left' WHEN pb > pa THEN 'right' WHEN ra > rb THEN 'left' WHEN rb > ra THEN 'right' WHEN recent AND l_observed > r_observed THEN 'left' WHEN recent AND r_observed > l_observed THEN 'right' ELSE 'unresolved' END AS winner,
+  CASE WHEN pa <> pb THEN 'authority' WHEN ra <> rb THEN 'lifecycle' WHEN recent AND l_observed <> r_observed THEN 'recency' WHEN (pa IS NULL OR pb IS NULL) AND (ra IS NULL OR rb IS NULL) AND NOT recent THEN 'no_policy' ELSE 'no_decisive_rule' END AS decided_by, count(*) AS pairs FROM w GROUP BY ALL"""
+_LOGGED = """m AS (SELECT DISTINCT claim_id AS l_claim, compared_claim_id AS r_claim, lower(trim(comparison_resolution, ' ')) AS resolution FROM claim WHERE compared_claim_id IS NOT NULL),
+q AS (SELECT m.*, l.predicate, l.subject = r.subject AND l.predicate = r.predicate AS aligned, l.value IS NOT DISTINCT FROM r.value AND l.datatype IS NOT DISTINCT FROM r.datatype AS same, l.source IS NOT DISTINCT FROM r.source AS one, coalesce(l.valid_to <= r.valid_from, false) OR coalesce(r.valid_to <= l.valid_from, false) AS over_,
+  l.system AS l_system, r.system AS r_system, l.observed AS l_observed, r.observed AS r_observed FROM m JOIN c l ON l.claim = l_claim JOIN c r ON r.claim = r_claim)"""
 _GROUPS = _ADJ + """,
-n AS (SELECT subject, predicate, count(*) AS claims FROM c GROUP BY ALL),
+n AS (SELECT subject, predicate, count(DISTINCT claim) AS claims FROM c GROUP BY ALL),
+x AS (SELECT subject, predicate, count(DISTINCT CASE winner WHEN 'left' THEN r_claim ELSE l_claim END) AS lost FROM z WHERE relation = 'contradiction' AND winner <> 'unresolved' GROUP BY ALL),
 o AS (SELECT subject, predicate, count(*) AS open_conflicts FROM z WHERE relation = 'contradiction' AND winner = 'unresolved' GROUP BY ALL),
 i AS (SELECT subject, bool_or(system IN ('jira', 'confluence', 'github')) AS identified, max(observed) IS NOT NULL AS covered FROM c GROUP BY ALL),
-g AS (SELECT i.subject, q.predicate, coalesce(claims, 0) AS claims, coalesce(open_conflicts, 0) AS open_conflicts, identified, covered FROM i CROSS JOIN (SELECT DISTINCT predicate FROM t) q LEFT JOIN n USING (subject, predicate) LEFT JOIN o USING (subject, predicate))
+g AS (SELECT i.subject, q.predicate, coalesce(claims, 0) AS claims, coalesce(open_conflicts, 0) AS open_conflicts, coalesce(lost, 0) AS lost, identified, covered FROM i CROSS JOIN (SELECT DISTINCT predicate FROM t) q LEFT JOIN n USING (subject, predicate) LEFT JOIN o USING (subject, predicate) LEFT JOIN x USING (subject, predicate))
 """
 _V = "CASE WHEN NOT {i} THEN 'UNKNOWN' WHEN {o} > 0 THEN 'DISPUTED' WHEN {n} > 0 THEN 'SUPPORTED' WHEN {c} THEN 'NOT_FOUND' ELSE 'UNKNOWN' END"
 _PLAIN = _V.format(i="identified", o="open_conflicts", n="claims", c="covered")
+_REASON = "CASE WHEN NOT identified THEN 'identity_missing' WHEN open_conflicts > 0 THEN 'claims_disputed' WHEN claims > 0 THEN 'claim_supported' WHEN covered THEN 'evidence_absent' ELSE 'coverage_incomplete' END"
+_ANSWERS = f"CASE WHEN {_REASON} = 'claim_supported' THEN claims - lost ELSE 0 END"
 _STRUCTURAL = """WITH e AS (SELECT DISTINCT * FROM herb_employee), u AS (SELECT DISTINCT * FROM herb_customer),
 s AS (SELECT employee_id AS subject, 'display_name' AS predicate, name AS value, 'employees' AS source FROM e UNION ALL SELECT employee_id, 'role', role, 'employees' FROM e UNION ALL SELECT employee_id, 'location', location, 'employees' FROM e UNION ALL SELECT employee_id, 'member_of', org, 'employees' FROM e
   UNION ALL SELECT id, 'display_name', name, 'customers' FROM u UNION ALL SELECT id, 'role', role, 'customers' FROM u UNION ALL SELECT id, 'works_at', company, 'customers' FROM u),
@@ -160,14 +183,14 @@ SQL = {
     "extraction_gaps": _STRUCTURAL + f", n AS (SELECT {_COLLAPSE.format(x='company')} AS n, min(org_id) AS object FROM org_reference WHERE company IS NOT NULL GROUP BY 1) SELECT subject, object FROM f LEFT JOIN n ON n = {_COLLAPSE.format(x='value')} WHERE predicate = 'works_at'",
     "claim_consolidation": _C.rstrip(",\n") + " SELECT subject, predicate, value, source, min(claim) AS first_observation, count(*) AS observations FROM c GROUP BY subject, predicate, value, source, valid_from, valid_to",
     "corroborated_statements": _C.rstrip(",\n") + " SELECT subject, predicate, value, count(DISTINCT source) AS sources FROM c GROUP BY subject, predicate, value, valid_from, valid_to HAVING count(DISTINCT source) > 1",
-    "answer_groups": _C.rstrip(",\n") + f" SELECT subject, predicate, {_COLLAPSE.format(x='value')} AS answer, min(value) AS label, count(DISTINCT claim) AS claims, count(DISTINCT source) AS sources FROM c GROUP BY 1, 2, 3",
+    "answer_groups": _C.rstrip(",\n") + f" SELECT subject, predicate, CASE WHEN coalesce(datatype, 'string') IN ('string', 'text') THEN 'string:' || {_COLLAPSE.format(x='value')} ELSE datatype || ':' || value END AS answer, min(value) AS label, count(DISTINCT claim) AS claims, count(DISTINCT source) AS sources FROM c GROUP BY 1, 2, 3",
     "latest_observations": _C.rstrip(",\n") + " SELECT subject, predicate, claim AS observation, value FROM (SELECT *, row_number() OVER (PARTITION BY subject, predicate ORDER BY coalesce(try_cast(regexp_extract(extractor_version, '([0-9]+)$', 1) AS INT), 0) DESC, observed DESC NULLS LAST, claim) AS k2 FROM c) WHERE k2 = 1",
     "conflict_discovery": _C.rstrip(",\n") + " SELECT subject, predicate, l_claim, r_claim, relation FROM p",
     "conflict_adjudication": _ADJ + " SELECT subject, predicate, l_claim, r_claim, relation, winner, decided_by FROM z",
-    "conflict_pairs": _EVERY + " SELECT subject, predicate, l_claim, r_claim, relation FROM f",
-    "conflict_pair_decisions": _EVERY + ", " + _A.format(name="e", src="f") + " SELECT subject, predicate, l_claim, r_claim, relation, winner, decided_by FROM e",
-    "logged_comparisons": _C + "m AS (SELECT DISTINCT claim_id AS l_claim, compared_claim_id AS r_claim, lower(trim(comparison_resolution, ' ')) AS resolution FROM claim WHERE compared_claim_id IS NOT NULL), q AS (SELECT m.*, l.predicate, l.system AS l_system, r.system AS r_system, l.observed AS l_observed, r.observed AS r_observed FROM m JOIN c l ON l.claim = l_claim JOIN c r ON r.claim = r_claim), " + _A.format(name="y", src="q") + " SELECT resolution, winner, decided_by, count(*) AS comparisons FROM y GROUP BY ALL",
-    "verdicts": _GROUPS + f"SELECT subject, predicate, {_PLAIN} AS verdict, claims, open_conflicts FROM g",
+    "tiered_adjudication": _TIERS,
+    "logged_comparisons": _C + _LOGGED + ", " + _A.format(name="y", src="q") + " SELECT resolution, winner, decided_by, count(*) AS comparisons FROM y GROUP BY ALL",
+    "compared_relations": _C + _LOGGED + " SELECT resolution, CASE WHEN NOT aligned THEN 'incomparable' WHEN same AND one THEN 'equivalent' WHEN same THEN 'corroboration' WHEN over_ THEN 'supersession' ELSE 'contradiction' END AS relation, count(*) AS comparisons FROM q GROUP BY ALL",
+    "verdicts": _GROUPS + f"SELECT subject, predicate, {_PLAIN} AS verdict, {_REASON} AS reason, {_ANSWERS} AS answers, claims, open_conflicts FROM g",
     "ablation_matrix": _GROUPS + f"SELECT ablation, verdict, count(*) AS groups FROM ({_ABLATED}) GROUP BY ALL",
-    "counterfactuals": _GROUPS + f"SELECT predicate, {_PLAIN} AS verdict, CASE {_PLAIN} WHEN 'DISPUTED' THEN 'a decision of the open conflicts' WHEN 'SUPPORTED' THEN 'a claim that wins over the last' WHEN 'NOT_FOUND' THEN 'a claim in a covered source' ELSE CASE WHEN NOT identified THEN 'an identified subject' ELSE 'a covered source' END END AS requirement, count(*) AS subjects FROM g GROUP BY ALL",
+    "counterfactuals": _GROUPS + f", v AS (SELECT *, {_PLAIN} AS verdict, {_REASON} AS reason, {_ANSWERS} AS answers FROM g) SELECT predicate, verdict, CASE WHEN reason = 'identity_missing' THEN 'resolve_identity' WHEN reason = 'claims_disputed' THEN 'resolve_conflict' WHEN reason = 'claim_supported' AND answers = 1 THEN 'remove_only_claim' WHEN reason = 'claim_supported' THEN 'contradict_all_claims' WHEN reason = 'evidence_absent' THEN 'add_evidence' ELSE 'complete_coverage' END AS change, count(*) AS subjects, sum(CASE reason WHEN 'claims_disputed' THEN open_conflicts WHEN 'claim_supported' THEN answers ELSE 0 END)::BIGINT AS about FROM v GROUP BY ALL",
 }

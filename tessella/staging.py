@@ -17,9 +17,11 @@ _written: list[Staged] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and all runs in one process (tests), a temporary one."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} isn't set: staged tables need a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")

@@ -102,11 +102,11 @@ def test_reversal_undoes_the_last_decision(spark):
     assert by["a"] == by["c"] != by["b"]
 
 
-CLAIM = "observation string, claim string, subject string, predicate string, value string, source string, system string, valid_from timestamp, valid_to timestamp, observed timestamp"
+CLAIM = "observation string, claim string, subject string, predicate string, value string, datatype string, source string, system string, valid_from timestamp, valid_to timestamp, observed timestamp"
 
 
 def claim_rows(spark, *x):
-    return spark.createDataFrame([(i, i, "s", "p", v, src, sy, None, None, None) for i, v, src, sy in x], CLAIM)
+    return spark.createDataFrame([(i, i, "s", "p", v, "string", src, sy, None, None, None) for i, v, src, sy in x], CLAIM)
 
 
 def test_consolidation_and_corroboration(spark):
@@ -125,12 +125,52 @@ def test_conflicts_and_adjudication(spark):
 
 def test_all_claims_meet_in_conflicts(spark):
     x = [("c1", "v", "a", "jira", None, "2020-01-01", "2020-03-01"), ("c2", "v", "b", "jira", "2020-01-01", None, "2020-02-01"), ("c3", "w", "c", "slack", "2020-02-01", None, None), ("c4", "w", "a", "slack", None, None, None), ("c5", "w", "d", "jira", None, None, None), ("c6", "v", None, "wiki", None, None, None), ("c7", "u", None, "slack", None, None, None)]
-    df = spark.createDataFrame([(i, i, "s", "p", v, src, sy, a, b, o) for i, v, src, sy, a, b, o in x], "observation string, claim string, subject string, predicate string, value string, source string, system string, valid_from string, valid_to string, observed string")
-    found = claims.conflict_pairs(df.withColumns({t: F.col(t).cast("timestamp") for t in ("valid_from", "valid_to", "observed")}), ["subject", "predicate"])
+    df = spark.createDataFrame([(i, i, "s", "p", v, "string", src, sy, a, b, o) for i, v, src, sy, a, b, o in x], "observation string, claim string, subject string, predicate string, value string, datatype string, source string, system string, valid_from string, valid_to string, observed string")
+    found = claims.conflicts(df.withColumns({t: F.col(t).cast("timestamp") for t in ("valid_from", "valid_to", "observed")}), ["subject", "predicate"])
     expected = {("c1", "c3", "supersession"), *((*p.split(), "contradiction") for p in ("c1 c7", "c2 c3", "c2 c4", "c2 c7", "c3 c6", "c4 c6", "c5 c6", "c5 c7", "c6 c7"))}
     assert set(rows(found.select("l_claim", "r_claim", "relation"))) == expected and found.count() == len(expected)
 
 
+def decided_pair(spark, l, r, trust, lifecycles=None, recency=None):
+    """winner, decided_by of two claims (system, observed, lifecycle) of predicate p."""
+    pair = spark.createDataFrame([("p", *l, *r)], "predicate string, l_system string, l_observed string, l_lifecycle string, r_system string, r_observed string, r_lifecycle string").withColumns({"l_claim": F.lit("a"), "r_claim": F.lit("b"), "relation": F.lit("contradiction")})
+    rules = spark.createDataFrame(trust, "predicate string, system string, priority double")
+    stages = None if lifecycles is None else spark.createDataFrame(lifecycles, "predicate string, lifecycle string, rank int")
+    recent = None if recency is None else spark.createDataFrame([(x,) for x in recency], "predicate string")
+    return tuple(claims.adjudicate(pair, rules, stages, recent).select("winner", "decided_by").first())
+
+
+def test_claims_are_compared_by_comparable_authority_only(spark):
+    old, new = ("jira", "2020-01-01", None), ("slack", "2021-01-01", None)
+    assert decided_pair(spark, old, new, [("p", "jira", 5.0), ("p", "slack", 2.0)]) == ("left", "authority")
+    assert decided_pair(spark, old, new, [("p", "jira", 2.0), ("p", "slack", 2.0)]) == ("right", "recency")
+    assert decided_pair(spark, old, new, [("p", "jira", 2.0)]) == ("unresolved", "no_policy")  # the newer one doesn't win without a policy
+    assert decided_pair(spark, old, new, [("q", "jira", 2.0), ("q", "slack", 1.0)]) == ("unresolved", "no_policy")
+    assert decided_pair(spark, ("jira", None, None), new, [("p", "jira", 2.0), ("p", "slack", 2.0)]) == ("unresolved", "no_decisive_rule")
+
+
+def test_tiers_of_adjudication(spark):
+    stages, a, b = [("p", "proposed", 0), ("p", "in_force", 1)], ("jira", "2020-01-01", "in_force"), ("slack", "2021-01-01", "proposed")
+    assert decided_pair(spark, a, b, [("p", "jira", 1.0), ("p", "slack", 2.0)], stages, []) == ("right", "authority")
+    assert decided_pair(spark, a, b, [], stages, ["p"]) == ("left", "lifecycle")
+    assert decided_pair(spark, a, ("slack", "2021-01-01", None), [], stages, ["p"]) == ("right", "recency")  # not grounded on both sides
+    assert decided_pair(spark, a, b, [], [], ["p"]) == ("right", "recency") and decided_pair(spark, a, b, [], [], ["q"]) == ("unresolved", "no_policy")
+    assert decided_pair(spark, a, ("slack", None, "in_force"), [], stages, ["p"]) == ("unresolved", "no_decisive_rule")
+
+
+def test_claims_of_two_predicates_are_incomparable(spark):
+    c = spark.createDataFrame([("s", "p", "v", "string", "a", "s", "q", "v", "string", "b"), ("s", "p", "v", "string", "a", "s", "p", "v", "number", "a"), ("s", "p", "v", "string", "a", "s", "p", "v", "string", "a")], "l_subject string, l_predicate string, l_value string, l_datatype string, l_source string, r_subject string, r_predicate string, r_value string, r_datatype string, r_source string").withColumns({f"{x}_{t}": F.lit(None).cast("timestamp") for x in "lr" for t in ("valid_from", "valid_to")})
+    aligned = (F.col("l_subject") == F.col("r_subject")) & (F.col("l_predicate") == F.col("r_predicate"))
+    assert [r[0] for r in c.select(claims.relation(aligned=aligned)).collect()] == ["incomparable", "contradiction", "equivalent"]
+
+
+def test_a_supported_answer_leaves_out_the_claims_that_lost(spark):
+    df = spark.createDataFrame([(True, True, 3, 0, 1), (True, True, 3, 1, 1)], "identified boolean, covered boolean, claims bigint, open_conflicts bigint, lost bigint")
+    assert [(r["verdict"], r["answers"], r["reason"]) for r in claims.verdicts(df).collect()] == [("SUPPORTED", 2, "claim_supported"), ("DISPUTED", 0, "claims_disputed")]
+    lost = spark.createDataFrame([("s", "a", "b", "left"), ("s", "c", "b", "left"), ("s", "a", "c", "unresolved")], "subject string, l_claim string, r_claim string, winner string")
+    assert rows(claims.losers(lost, ["subject"])) == [("s", "b")]
+
+
 @pytest.mark.parametrize("given,verdict", [((False, True, 1, 0), "UNKNOWN"), ((True, True, 1, 1), "DISPUTED"), ((True, False, 1, 0), "SUPPORTED"), ((True, True, 0, 0), "NOT_FOUND"), ((True, False, 0, 0), "UNKNOWN"), ((True, None, None, None), "UNKNOWN")])
 def test_verdicts(spark, given, verdict):
     df = spark.createDataFrame([given], "identified boolean, covered boolean, claims bigint, open_conflicts bigint")
