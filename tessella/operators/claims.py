@@ -26,6 +26,41 @@ def referenced(claims: DataFrame, predicate: str, known: DataFrame, key: str) ->
     return joined.where("object IS NOT NULL"), joined.where("object IS NULL").drop("object")
 
 
+#: The predicate of each attribute of an object type that is a literal, and that names an organisation.
+LITERALS = {
+    ("employee", "name"): "display_name", ("employee", "role"): "has_role", ("employee", "location"): "located_in", ("customer", "name"): "display_name", ("customer", "role"): "has_role", ("product", "name"): "display_name", ("message_author", "name"): "display_name", ("message_author", "messages"): "message_count", ("team_structure", "name"): "display_name",
+    ("document", "title"): "document_title", ("document", "system"): "origin_system", ("document", "dataset"): "part_of_dataset", ("document", "digest"): "content_digest",
+}
+ORGANISATIONS = {("employee", "organization"): "member_of", ("customer", "company"): "works_at"}
+#: The predicate and the namespace of the external ids of each list of an object type.
+LINKS = {("product", "team"): ("has_team_member", "person"), ("product", "customers"): ("serves_customer", "customer"), ("message_author", "product"): ("authored_messages_in_product", "product"), ("team_structure", "reports"): ("manages", "person")}
+TYPES = ("document", "employee", "customer", "product", "message_author", "team_structure")
+
+
+def typed_claims(objects: DataFrame, attributes: DataFrame, links: DataFrame, by_source: DataFrame, by_external: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """claims (subject, predicate, kind, value, source), organisations (entity, name) and gaps (source, predicate, external, reason).
+
+    objects: source, type. attributes: source, field, value. links: source, field, external, a row each, so that no list has to fit a task.
+    by_source: source, entity. by_external: namespace, external, entity. Objects that are no entity are a gap (subject_unresolved) and have no claims;
+    links whose id is unknown are (object_unresolved), and types without rules (unsupported_object_type). Empty values have no claim.
+    """
+    spark = objects.sparkSession
+    rules = spark.createDataFrame([(*k, p, "literal") for k, p in LITERALS.items()] + [(*k, p, "entity") for k, p in ORGANISATIONS.items()], "type string, field string, predicate string, kind string")
+    linked = spark.createDataFrame([(*k, *v) for k, v in LINKS.items()], "type string, field string, predicate string, namespace string")
+    own = objects.select("source", "type").distinct().join(by_source.groupBy("source").agg(F.min("entity").alias("subject")), "source", "left")
+    known = own.where("subject IS NOT NULL")
+    values = known.join(attributes.where("trim(value) <> ''"), "source").join(F.broadcast(rules), ["type", "field"])
+    organisation = stable_id("organization", canonical_json({"name": collapsed(F.col("value"))}))
+    valued = values.select("subject", "predicate", "kind", F.when(F.col("kind") == "entity", organisation).otherwise(F.col("value")).alias("value"), "source")
+    organisations = values.where("kind = 'entity'").groupBy(organisation.alias("entity")).agg(F.min("value").alias("name"))
+    led = known.join(links.where("external IS NOT NULL"), "source").join(F.broadcast(linked), ["type", "field"]).join(by_external.groupBy("namespace", "external").agg(F.min("entity").alias("entity")), ["namespace", "external"], "left")
+    claims = valued.unionByName(led.where("entity IS NOT NULL").select("subject", "predicate", F.lit("entity").alias("kind"), F.col("entity").alias("value"), "source")).distinct()
+    gap = lambda df, predicate, external, reason: df.select("source", predicate.alias("predicate"), external.alias("external"), F.lit(reason).alias("reason"))
+    every, none = F.lit("*"), F.lit(None).cast("string")
+    gaps = gap(own.where("subject IS NULL"), every, none, "subject_unresolved").unionByName(gap(known.where(~F.col("type").isin(*TYPES)), every, none, "unsupported_object_type")).unionByName(gap(led.where("entity IS NULL"), F.col("predicate"), F.col("external"), "object_unresolved"))
+    return claims, organisations, gaps.distinct()
+
+
 def claim_id(with_source: bool) -> Column:
     """A claim's identity, with its source or without it, in which case corroborating claims share it."""
     fields = {k: F.col(k).cast("string") for k in KEYS} | ({"source": F.col("source")} if with_source else {})

@@ -31,10 +31,17 @@ def source_objects(df: DataFrame, system: str, kind: str, native: str, digest: s
 
 
 def coverage(accepted: DataFrame, rejected: DataFrame, system: str) -> DataFrame:
-    """system, objects, status of what a run covered: partial for every system if any record was rejected, whichever it was of."""
+    """system, objects, status of what a run covered: partial for every system if any record was rejected, whichever it was of.
+
+    A system whose records are all rejected has a slice that failed, where rejects tell their system.
+    """
     flawed = rejected.agg((F.count(F.lit(1)) > 0).alias("flawed"))
     counts = accepted.groupBy(system).agg(F.count(F.lit(1)).alias("objects"))
-    return counts.crossJoin(F.broadcast(flawed)).select(system, "objects", F.when(F.col("flawed"), "partial").otherwise("complete").alias("status"))
+    slices = counts.crossJoin(F.broadcast(flawed)).select(system, "objects", F.when(F.col("flawed"), "partial").otherwise("complete").alias("status"))
+    if system not in rejected.columns:
+        return slices
+    lost = rejected.select(system).where(F.col(system).isNotNull()).distinct().join(counts, system, "left_anti")
+    return slices.unionByName(lost.select(system, F.lit(0).cast("bigint").alias("objects"), F.lit("failed").alias("status")))
 
 
 def ledger(records: DataFrame, run: str, system: str, native: str, digest: str, reject: str) -> DataFrame:

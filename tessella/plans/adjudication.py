@@ -40,6 +40,35 @@ def extraction_gaps(spark, d):
     return found.select("subject", "object").unionByName(gaps.select("subject", F.lit(None).cast("string").alias("object")))
 
 
+def _typed(spark, d):
+    """Employees, customers, documents and organisations as typed objects; employees without a location are no entity, and groups of versions have no rules."""
+    e, c = table(spark, d, "herb_employee").distinct(), table(spark, d, "herb_customer").distinct()
+    docs, groups = table(spark, d, "documents"), table(spark, d, "source_version_group").select("group_id").distinct()
+    source = lambda kind, x: F.concat(F.lit(kind + "|"), F.col(x).cast("string"))
+    one = lambda df, kind, x: df.where(F.col(x).isNotNull()).select(source(kind, x).alias("source"), F.lit(kind).alias("type")).distinct()
+    objects = one(e, "employee", "employee_id").unionByName(one(c, "customer", "id")).unionByName(one(docs, "document", "doc_id")).unionByName(one(e, "product", "org")).unionByName(one(groups, "version_group", "group_id"))
+    fields = lambda df, kind, x, names: df.where(F.col(x).isNotNull()).select(source(kind, x).alias("source"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(v).cast("string").alias("value")) for f, v in names.items()))).alias("v")).select("source", "v.*")
+    attributes = fields(e, "employee", "employee_id", {"name": "name", "role": "role", "location": "location", "organization": "org"}).unionByName(fields(c, "customer", "id", {"name": "name", "role": "role", "company": "company"})).unionByName(fields(docs, "document", "doc_id", {"title": "title", "system": "source_type", "dataset": "source", "digest": "payload_digest"})).unionByName(fields(e, "product", "org", {"name": "org"}))
+    links = e.where("org IS NOT NULL").select(source("product", "org").alias("source"), F.lit("team").alias("field"), F.col("employee_id").alias("external")).distinct()
+    people = e.where("location IS NOT NULL AND employee_id IS NOT NULL").select("employee_id").distinct()
+    others = objects.where("type <> 'employee'").select("source", F.concat(F.lit("entity|"), "source").alias("entity"))
+    by_source = people.select(source("employee", "employee_id").alias("source"), F.concat(F.lit("entity|"), source("employee", "employee_id")).alias("entity")).unionByName(others)
+    by_external = people.select(F.lit("person").alias("namespace"), F.col("employee_id").alias("external"), F.concat(F.lit("entity|"), source("employee", "employee_id")).alias("entity"))
+    return C.typed_claims(objects, attributes, links, by_source, by_external)
+
+
+def typed_claims(spark, d):
+    return _typed(spark, d)[0]
+
+
+def named_organisations(spark, d):
+    return _typed(spark, d)[1]
+
+
+def typed_gaps(spark, d):
+    return _typed(spark, d)[2]
+
+
 def claim_consolidation(spark, d):
     return C.consolidate(_claims(spark, d)).select("subject", "predicate", "value", "source", "first_observation", "observations")
 
@@ -133,7 +162,7 @@ def counterfactuals(spark, d):
     return v.groupBy("predicate", "verdict", kind.alias("change")).agg(F.count(F.lit(1)).alias("subjects"), F.sum(about).alias("about"))
 
 
-QUERIES = {f.__name__: f for f in (structural_claims, extraction_gaps, claim_consolidation, corroborated_statements, answer_groups, latest_observations, conflict_discovery, conflict_adjudication, tiered_adjudication, logged_comparisons, compared_relations, verdicts, ablation_matrix, counterfactuals)}
+QUERIES = {f.__name__: f for f in (structural_claims, extraction_gaps, typed_claims, named_organisations, typed_gaps, claim_consolidation, corroborated_statements, answer_groups, latest_observations, conflict_discovery, conflict_adjudication, tiered_adjudication, logged_comparisons, compared_relations, verdicts, ablation_matrix, counterfactuals)}
 
 _SLUG = "regexp_replace(regexp_replace(lower(regexp_replace(trim({x}, ' '), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 _COLLAPSE = "lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' '))"
@@ -178,7 +207,17 @@ _ABLATED = " UNION ALL ".join(
     f"SELECT '{name}' AS ablation, {_V.format(i=i, o=o, n=n, c=c)} AS verdict FROM g"
     for name, i, o, n, c in (("none", "identified", "open_conflicts", "claims", "covered"), ("no_identity", "false", "open_conflicts", "claims", "covered"), ("no_conflicts", "identified", "0", "claims", "covered"), ("no_claims", "identified", "0", "0", "covered"), ("no_coverage", "identified", "open_conflicts", "claims", "false"), ("no_claims_no_coverage", "identified", "0", "0", "false"))
 )
+_ORG = "'organization_' || substr(sha256('organization' || chr(0) || '{\"name\":' || CAST(to_json(" + _COLLAPSE.format(x="v") + ") AS VARCHAR) || '}'), 1, 24)"
+_TYPED = f"""WITH e AS (SELECT DISTINCT * FROM herb_employee), u AS (SELECT DISTINCT * FROM herb_customer), k AS (SELECT DISTINCT employee_id FROM e WHERE location IS NOT NULL AND employee_id IS NOT NULL),
+a AS (SELECT 'employee|' || employee_id AS source, 'display_name' AS predicate, 'literal' AS kind, name AS v FROM e UNION ALL SELECT 'employee|' || employee_id, 'has_role', 'literal', role FROM e UNION ALL SELECT 'employee|' || employee_id, 'located_in', 'literal', location FROM e UNION ALL SELECT 'employee|' || employee_id, 'member_of', 'entity', org FROM e
+  UNION ALL SELECT 'customer|' || id, 'display_name', 'literal', name FROM u UNION ALL SELECT 'customer|' || id, 'has_role', 'literal', role FROM u UNION ALL SELECT 'customer|' || id, 'works_at', 'entity', company FROM u UNION ALL SELECT 'product|' || org, 'display_name', 'literal', org FROM e
+  UNION ALL SELECT 'document|' || doc_id, 'document_title', 'literal', title FROM documents UNION ALL SELECT 'document|' || doc_id, 'origin_system', 'literal', source_type FROM documents UNION ALL SELECT 'document|' || doc_id, 'part_of_dataset', 'literal', source FROM documents UNION ALL SELECT 'document|' || doc_id, 'content_digest', 'literal', payload_digest FROM documents),
+f AS (SELECT * FROM a WHERE source IS NOT NULL AND trim(v, ' ') <> '' AND (source NOT LIKE 'employee|%' OR source IN (SELECT 'employee|' || employee_id FROM k))),
+t AS (SELECT DISTINCT 'product|' || org AS source, employee_id FROM e WHERE org IS NOT NULL AND employee_id IS NOT NULL) """
 SQL = {
+    "typed_claims": _TYPED + f"SELECT DISTINCT 'entity|' || source AS subject, predicate, kind, CASE kind WHEN 'entity' THEN {_ORG} ELSE v END AS value, source FROM f UNION ALL SELECT 'entity|' || source, 'has_team_member', 'entity', 'entity|employee|' || employee_id, source FROM t WHERE employee_id IN (SELECT employee_id FROM k)",
+    "named_organisations": _TYPED + f"SELECT {_ORG} AS entity, min(v) AS name FROM f WHERE kind = 'entity' GROUP BY 1",
+    "typed_gaps": _TYPED + "SELECT DISTINCT 'employee|' || employee_id AS source, '*' AS predicate, NULL AS external, 'subject_unresolved' AS reason FROM e WHERE employee_id NOT IN (SELECT employee_id FROM k) UNION ALL SELECT DISTINCT 'version_group|' || group_id, '*', NULL, 'unsupported_object_type' FROM source_version_group WHERE group_id IS NOT NULL UNION ALL SELECT source, 'has_team_member', employee_id, 'object_unresolved' FROM t WHERE employee_id NOT IN (SELECT employee_id FROM k)",
     "structural_claims": _STRUCTURAL + "SELECT * FROM f",
     "extraction_gaps": _STRUCTURAL + f", n AS (SELECT {_COLLAPSE.format(x='company')} AS n, min(org_id) AS object FROM org_reference WHERE company IS NOT NULL GROUP BY 1) SELECT subject, object FROM f LEFT JOIN n ON n = {_COLLAPSE.format(x='value')} WHERE predicate = 'works_at'",
     "claim_consolidation": _C.rstrip(",\n") + " SELECT subject, predicate, value, source, min(claim) AS first_observation, count(*) AS observations FROM c GROUP BY subject, predicate, value, source, valid_from, valid_to",

@@ -33,9 +33,13 @@ def alignment_decisions(spark, d):
 
 
 def coverage_gaps(spark, d):
-    """Which systems' claims cover the policies' predicates, by extraction method."""
+    """Which systems' claims cover the policies' predicates, by extraction method.
+
+    A slice is partial where more than 7 % of its claims have no value, and failed beyond 20 %.
+    """
+    lost = F.count_if(F.col("object_value").isNull()) / F.count(F.lit(1))
     c = table(spark, d, "claim")
-    slices = c.groupBy(F.lower(F.trim("source_system")).alias("system"), F.col("extraction_method").alias("object_type")).agg(F.when(F.count_if(F.col("object_value").isNull()) > 60, "failed").when(F.count_if(F.col("object_value").isNull()) > 4, "partial").otherwise("complete").alias("status"), F.array_sort(F.collect_set("predicate")).alias("predicates"))
+    slices = c.groupBy(F.lower(F.trim("source_system")).alias("system"), F.col("extraction_method").alias("object_type")).agg(F.when(lost > 0.2, "failed").when(lost > 0.07, "partial").otherwise("complete").alias("status"), F.array_sort(F.collect_set("predicate")).alias("predicates"))
     p = table(spark, d, "authority_policy").select(F.lower(F.trim("source_system")).alias("system"), "predicate").distinct()
     required = p.crossJoin(_small(spark, [("llm",), ("structural",), ("manual",)], "object_type string")).select("system", "object_type", "predicate")
     return A.coverage_gaps(required, slices)
@@ -116,7 +120,7 @@ SQL = {
     "alignment_decisions": _T + f""", u AS (SELECT DISTINCT generic AS target, domain, range FROM h), r(surface, rt, rd, rr) AS (VALUES {_values(_RULES)}),
       j AS (SELECT m.*, rt, CASE WHEN m.target <> rt THEN 'target_mismatch' WHEN u.domain IS DISTINCT FROM rd THEN 'domain_mismatch' WHEN u.range IS DISTINCT FROM rr THEN 'range_mismatch' END AS c FROM m LEFT JOIN u ON u.target = m.target LEFT JOIN r ON r.surface = m.surface)
       SELECT system, object_type, field, surface, target, CASE WHEN rt IS NULL THEN 'pending' WHEN c IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN rt IS NOT NULL THEN c END AS "constraint" FROM j""",
-    "coverage_gaps": """WITH s AS (SELECT lower(trim(source_system, ' ')) AS system, extraction_method AS object_type, CASE WHEN count(*) FILTER (WHERE object_value IS NULL) > 60 THEN 'failed' WHEN count(*) FILTER (WHERE object_value IS NULL) > 4 THEN 'partial' ELSE 'complete' END AS status, list(DISTINCT predicate) AS predicates FROM claim GROUP BY 1, 2),
+    "coverage_gaps": """WITH s AS (SELECT lower(trim(source_system, ' ')) AS system, extraction_method AS object_type, CASE WHEN count(*) FILTER (WHERE object_value IS NULL) > 0.2 * count(*) THEN 'failed' WHEN count(*) FILTER (WHERE object_value IS NULL) > 0.07 * count(*) THEN 'partial' ELSE 'complete' END AS status, list(DISTINCT predicate) AS predicates FROM claim GROUP BY 1, 2),
       q AS (SELECT DISTINCT lower(trim(source_system, ' ')) AS system, predicate, object_type FROM authority_policy, (SELECT unnest(['llm', 'structural', 'manual']) AS object_type))
       SELECT q.system, q.object_type, q.predicate, CASE WHEN s.status IS NULL THEN 'slice_missing' WHEN status = 'failed' THEN 'ingestion_failed' WHEN status = 'partial' THEN 'ingestion_incomplete' WHEN NOT list_contains(predicates, q.predicate) THEN 'predicate_not_examined' END AS gap FROM q LEFT JOIN s USING (system, object_type)""",
     "matched_removal": _BAND,

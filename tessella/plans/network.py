@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import graph
+from tessella.operators import evidence, graph
 from tessella.plans import table
 
 _ENDS = {"IN_REGION": ("nation", "n_nationkey", "region", "n_regionkey"), "IN_NATION": ("customer", "c_custkey", "nation", "c_nationkey"), "PLACED_BY": ("orders", "o_orderkey", "customer", "o_custkey"), "BASED_IN": ("supplier", "s_suppkey", "nation", "s_nationkey")}
@@ -73,8 +73,14 @@ def claim_evidence(spark, d):
 
 
 def team_members(spark, d):
-    """Employees of each organisation, each once, with the least spelling of their name."""
-    return table(spark, d, "herb_employee").where("org IS NOT NULL AND employee_id IS NOT NULL").groupBy("org", "employee_id").agg(F.min("name").alias("display_name"))
+    """Employees of each organisation, each once, along organisation, member and name claim; of several names the first claim's."""
+    e = table(spark, d, "herb_employee").where("org IS NOT NULL AND employee_id IS NOT NULL")
+    named = F.concat_ws("|", F.lit("name"), "employee_id", "name")
+    edges = evidence.edge(e, "HAS_TEAM_MEMBER", "org", "employee_id").unionByName(evidence.edge(e.where("name IS NOT NULL"), "ASSERTS", "employee_id", named))
+    members = edges.where("type = 'HAS_TEAM_MEMBER'").select(F.col("src").alias("org"), F.col("dst").alias("employee_id"))
+    claims = e.where("name IS NOT NULL").select(named.alias("claim"), F.col("name").alias("display_name")).distinct()
+    first = edges.where("type = 'ASSERTS'").groupBy(F.col("src").alias("employee_id")).agg(F.min("dst").alias("claim")).join(claims, "claim")
+    return members.join(first, "employee_id", "left").select("org", "employee_id", "display_name")
 
 
 def first_orders(spark, d):
@@ -102,6 +108,6 @@ SQL = {
       SELECT DISTINCT 'DECIDED_BY' AS type, claim_id AS src, claim_id AS dst FROM c WHERE own UNION SELECT DISTINCT 'DECIDED_BY', claim_id, compared_claim_id FROM c WHERE claim_id NOT IN (SELECT claim_id FROM c WHERE own)""",
     "merged_nodes": "SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS status, count(*) AS orders FROM orders GROUP BY 1",
     "claim_evidence": "WITH g AS (SELECT DISTINCT group_id, unnest(source_object_ids) AS source_object_id FROM source_version_group) SELECT claim_id, doc_id, source_type, group_id FROM (SELECT DISTINCT claim_id, predicate, source_object_id FROM claim) JOIN documents USING (source_object_id) LEFT JOIN g USING (source_object_id)",
-    "team_members": "SELECT org, employee_id, min(name) AS display_name FROM herb_employee WHERE org IS NOT NULL AND employee_id IS NOT NULL GROUP BY ALL",
+    "team_members": "WITH n AS (SELECT employee_id, min(name) AS display_name FROM herb_employee WHERE org IS NOT NULL AND employee_id IS NOT NULL GROUP BY 1) SELECT DISTINCT org, employee_id, display_name FROM herb_employee JOIN n USING (employee_id) WHERE org IS NOT NULL",
     "first_orders": "SELECT c_nationkey, c_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders JOIN customer ON o_custkey = c_custkey) WHERE k = 1",
 }

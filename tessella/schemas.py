@@ -12,5 +12,3 @@ def _strings(*names: str) -> T.StructType:
 DOCUMENT = _strings("doc_id", "source_type", "title", "content")
 EMPLOYEE = _strings("employee_id", "name", "role", "location", "org")
 CUSTOMER = _strings("id", "name", "role", "company")
-REJECT = T.StructType([T.StructField("path", T.StringType()), T.StructField("line", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("raw", T.StringType())])
-EXTRACTION = T.StructType([T.StructField("status", T.StringType()), T.StructField("quote", T.StringType()), T.StructField("value", T.StringType()), T.StructField("lifecycle", T.StringType())])

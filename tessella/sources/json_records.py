@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,20 +48,114 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT,
     return records, rejects, coverage(records, rejects, system)
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """path, value of each file, empty ones too; a file is one value, so it has to fit a task and 2 GB."""
+    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("value"))
+
+
 def read_keyed_object(spark: SparkSession, path: str, schema: T.StructType = EMPLOYEE, key: str = "employee_id") -> tuple[DataFrame, DataFrame]:
-    """records and rejects of files that hold one JSON object each, from key to record; a key must be its record's own."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", T.MapType(T.StringType(), schema)).alias("m"))
-    each = whole.select("path", F.explode("m").alias("key", "r"))
+    """records and rejects of files that hold one JSON object each, from key to record; a key must be its record's own.
+
+    A file that isn't a JSON object is one reject (``invalid_json``, null key), and so is each record that is null or no object.
+    """
+    parsed = _whole(spark, path).select("path", F.from_json("value", T.MapType(T.StringType(), schema)).alias("m"), (F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")).alias("fine"))
+    fine = F.coalesce("fine", F.lit(False)) & F.col("m").isNotNull()
+    each = parsed.where(fine).select("path", F.explode("m").alias("key", "r"))
     own = F.coalesce(F.col("key") == F.col(f"r.{key}"), F.lit(False))
-    return each.where(own).select("path", "r.*"), each.where(~own).select("path", "key", F.lit("invalid_shape").alias("reason"))
+    broken = parsed.where(~fine).select("path", F.lit(None).cast("string").alias("key"), F.lit("invalid_json").alias("reason"))
+    return each.where(own).select("path", "r.*"), each.where(~own).select("path", "key", F.lit("invalid_shape").alias("reason")).unionByName(broken)
 
 
 def read_array(spark: SparkSession, path: str, schema: T.StructType = CUSTOMER, required: tuple[str, ...] = ("id", "name")) -> tuple[DataFrame, DataFrame]:
-    """records and rejects (by index) of files that hold one JSON array each."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", T.ArrayType(schema)).alias("a"))
-    each = whole.select("path", F.posexplode("a").alias("index", "r"))
+    """records and rejects (by index) of files that hold one JSON array each; a file that isn't one is a reject with a null index."""
+    parsed = _whole(spark, path).select("path", F.from_json("value", T.ArrayType(schema)).alias("a"), (F.try_parse_json("value").isNotNull() & F.trim("value").startswith("[")).alias("fine"))
+    good = F.coalesce("fine", F.lit(False)) & F.col("a").isNotNull()
+    each = parsed.where(good).select("path", F.posexplode("a").alias("index", "r"))
     fine = F.coalesce(sum(((F.length(F.col(f"r.{c}")) > 0).cast("int") for c in required), F.lit(0)) == len(required), F.lit(False))
-    return each.where(fine).select("path", "index", "r.*"), each.where(~fine).select("path", "index", F.lit("invalid_shape").alias("reason"))
+    broken = parsed.where(~good).select("path", F.lit(None).cast("int").alias("index"), F.lit("invalid_json").alias("reason"))
+    return each.where(fine).select("path", "index", "r.*"), each.where(~fine).select("path", "index", F.lit("invalid_shape").alias("reason")).unionByName(broken)
+
+
+_PRODUCT = "path string, product string, team_ids array<string>, customer_ids array<string>, lengths map<string,bigint>, authors map<string,bigint>, reason string"
+
+
+def read_products(spark: SparkSession, path: str, team: str = "team", customers: str = "customers", author: str = "userId") -> tuple[DataFrame, DataFrame]:
+    """products and rejects of a directory of JSON files, one product each, named by its file.
+
+    product, team_ids and customer_ids (strings, what isn't one is left out), lengths (how long each list of the product is),
+    authors (how often each string stands under ``author`` at any depth). A file that isn't an object is a reject.
+    """
+
+    def parse(batches):
+        for b in batches:
+            rows = []
+            for p, text in zip(b["path"], b["value"], strict=True):
+                name = p.rsplit("/", 1)[-1].removesuffix(".json")
+                try:
+                    v = json.loads(text)
+                except ValueError:
+                    v = None
+                if not isinstance(v, dict):
+                    rows.append((p, name, None, None, None, None, "invalid_json" if v is None else "invalid_shape"))
+                    continue
+                ids = lambda k, v=v: [i for i in v.get(k, []) if isinstance(i, str)] if isinstance(v.get(k), list) else []
+                found: dict[str, int] = {}
+                for a in _found(v, author, []):
+                    found[a] = found.get(a, 0) + 1
+                rows.append((p, name, ids(team), ids(customers), {k: len(x) for k, x in v.items() if isinstance(x, list)}, found, None))
+            yield pd.DataFrame(rows, columns=["path", "product", "team_ids", "customer_ids", "lengths", "authors", "reason"])
+
+    read = _whole(spark, path).mapInPandas(parse, _PRODUCT)
+    return read.where("reason IS NULL").drop("reason"), read.where("reason IS NOT NULL").select("path", "product", "reason")
+
+
+def message_authors(products: DataFrame) -> DataFrame:
+    """product, handle, messages, external_id: who wrote in a product; only handles of the form of a person's id are an external id too."""
+    each = products.select("product", F.explode("authors").alias("handle", "messages"))
+    return each.withColumn("external_id", F.when(F.col("handle").rlike("^eid_[a-f0-9]+$"), F.col("handle")))
+
+
+def read_people(spark: SparkSession, path: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """records and rejects by object type of a path: employees alone of a file; of a directory employees, customers and products."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if root.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(root).isFile():
+        return {"employee": read_keyed_object(spark, path)}
+    base = path.rstrip("/")
+    return {"employee": read_keyed_object(spark, f"{base}/employees.json"), "customer": read_array(spark, f"{base}/customers.json"), "product": read_products(spark, f"{base}/products")}
+
+
+def write_artifact(df: DataFrame, path: str, order: list[str]) -> None:
+    """Writes a report as JSON lines in the order of columns that tell its rows apart; nulls are kept."""
+    df.orderBy(*order).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def nested_reports(spark: SparkSession, path: str, key: str = "employee_id") -> DataFrame:
+    """path, id, report of each JSON object with a string under ``key`` and each other one nested in it at any depth; an id isn't its own report."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+
+            def visit(v, above, p, rows=rows):
+                if isinstance(v, dict):
+                    own = v.get(key)
+                    if isinstance(own, str):
+                        rows.extend((p, a, own) for a in above if a != own)
+                        above = (*above, own)
+                    for x in v.values():
+                        visit(x, above, p)
+                elif isinstance(v, list):
+                    for x in v:
+                        visit(x, above, p)
+
+            for p, text in zip(b["path"], b["value"], strict=True):
+                try:
+                    visit(json.loads(text), (), p)
+                except ValueError:
+                    continue
+            yield pd.DataFrame(rows, columns=["path", "id", "report"])
+
+    return _whole(spark, path).mapInPandas(run, "path string, id string, report string").distinct()
 
 
 def _found(value, key: str, out: list[str]) -> list[str]:
@@ -95,10 +191,9 @@ def read_or_fail(read, spark: SparkSession, path: str) -> Parts:
     """``read(spark, path)``, or, where the path can't be read, no records, one reject and one failed coverage."""
     try:
         return read(spark, path)
-    except Exception as e:
-        kind = "unsupported_input" if "PATH_NOT_FOUND" in str(e) else "invalid_json"
+    except AnalysisException:  # what parses wrongly is a reject of its line or file, not an exception
         none = spark.createDataFrame([], DOCUMENT)
-        return none, spark.createDataFrame([(path, kind)], "path string, reason string"), spark.createDataFrame([(path, 0, "failed")], "source_type string, objects bigint, status string")
+        return none, spark.createDataFrame([(path, "unsupported_input")], "path string, reason string"), spark.createDataFrame([(path, 0, "failed")], "source_type string, objects bigint, status string")
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -119,8 +119,8 @@ def test_conflicts_and_adjudication(spark):
     c = claim_rows(spark, ("c1", "v", "a", "jira"), ("c2", "w", "b", "slack"), ("c3", "v", "c", "slack"), ("c4", "w", "d", "slack"))
     found = claims.conflicts(c, ["subject", "predicate"])
     trust = spark.createDataFrame([("p", "jira", 5.0), ("p", "slack", 2.0)], "predicate string, system string, priority double")
-    assert rows(claims.adjudicate(found, trust).select("l_claim", "r_claim", "relation", "winner", "decided_by")) == [("c1", "c2", "contradiction", "left", "authority")]
-    assert [r["decided_by"] for r in claims.adjudicate(found, trust.where("false")).collect()] == ["no_policy"]
+    assert rows(claims.adjudicate(found, trust).select("l_claim", "r_claim", "relation", "winner", "decided_by")) == [("c1", "c2", "contradiction", "left", "authority"), ("c1", "c4", "contradiction", "left", "authority")]
+    assert [r["decided_by"] for r in claims.adjudicate(found, trust.where("false")).collect()] == ["no_policy"] * 2
 
 
 def test_all_claims_meet_in_conflicts(spark):

@@ -36,6 +36,36 @@ def test_objects_arrays_and_nested_values(spark, tmp_path):
     assert J.file_digests(spark, str(tmp_path)).count() == 3
 
 
+def test_broken_files_are_rejects(spark, tmp_path):
+    e = {"employee_id": "e1", "name": "n", "role": "r", "location": "l", "org": "o"}
+    for name, text in (("a", json.dumps({"e1": e, "e2": None})), ("b", "{broken"), ("c", "[1]"), ("d", "")):
+        (tmp_path / f"{name}.json").write_text(text)
+    records, rejects = J.read_keyed_object(spark, str(tmp_path))
+    assert records.count() == 1 and sorted((r["path"][-6:], r["key"], r["reason"]) for r in rejects.collect()) == [("a.json", "e2", "invalid_shape")] + [(f"{n}.json", None, "invalid_json") for n in "bcd"]
+    records, rejects = J.read_array(spark, str(tmp_path))
+    assert sorted((r["path"][-6:], r["index"], r["reason"]) for r in rejects.collect()) == [("a.json", None, "invalid_json"), ("b.json", None, "invalid_json"), ("c.json", 0, "invalid_shape"), ("d.json", None, "invalid_json")]
+
+
+def test_products_authors_and_reports(spark, tmp_path):
+    root = tmp_path / "herb"
+    (root / "products").mkdir(parents=True)
+    (root / "employees.json").write_text("{}")
+    (root / "customers.json").write_text("[]")
+    (root / "products" / "Alpha.json").write_text(json.dumps({"team": ["e1", 5, "e2"], "customers": "none", "slack": [{"userId": "eid_0a"}, {"replies": [{"userId": "eid_0a"}, {"userId": "bot"}]}]}))
+    (root / "products" / "Bad.json").write_text("[]")
+    people = J.read_people(spark, str(root))
+    products, rejects = people["product"]
+    row = products.first()
+    assert (row["product"], row["team_ids"], row["customer_ids"], row["lengths"]) == ("Alpha", ["e1", "e2"], [], {"team": 3, "slack": 2})
+    assert [(r["product"], r["reason"]) for r in rejects.collect()] == [("Bad", "invalid_shape")]
+    assert sorted(tuple(r) for r in J.message_authors(products).collect()) == [("Alpha", "bot", 1, None), ("Alpha", "eid_0a", 2, "eid_0a")]
+    assert set(J.read_people(spark, str(root / "employees.json"))) == {"employee"}
+    (tmp_path / "team.json").write_text(json.dumps({"employee_id": "a", "reports": [{"employee_id": "b", "reports": [{"employee_id": "c"}, {"employee_id": "a"}]}]}))
+    assert sorted((r["id"], r["report"]) for r in J.nested_reports(spark, str(tmp_path / "team.json")).collect()) == [("a", "b"), ("a", "c"), ("b", "a"), ("b", "c")]
+    J.write_artifact(products.select("product", F.lit(None).cast("string").alias("x")), str(tmp_path / "out"), ["product"])
+    assert [json.loads(x[0]) for x in spark.read.text(str(tmp_path / "out")).collect()] == [{"product": "Alpha", "x": None}]
+
+
 def test_what_cannot_be_read_is_a_failed_coverage(spark, tmp_path):
     records, rejects, coverage = J.read_or_fail(J.read_lines, spark, str(tmp_path / "missing.jsonl"))
     assert records.count() == 0 and rejects.first()["reason"] == "unsupported_input" and coverage.first()["status"] == "failed"
