@@ -49,8 +49,15 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT,
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
-    """path, value of each file, empty ones too; a file is one value, so it has to fit a task and 2 GB."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("value"))
+    """path, value of each file, empty ones too; a file is one value, so it has to fit a task and 2 GB.
+
+    Spark's readers skip empty files, so those are added from the listing.
+    """
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    empty = [(x.getPath().toString(), "") for x in fs.listStatus(root) if x.isFile() and x.getLen() == 0]
+    return read.unionByName(spark.createDataFrame(empty, "path string, value string")) if empty else read
 
 
 def read_keyed_object(spark: SparkSession, path: str, schema: T.StructType = EMPLOYEE, key: str = "employee_id") -> tuple[DataFrame, DataFrame]:
@@ -58,9 +65,9 @@ def read_keyed_object(spark: SparkSession, path: str, schema: T.StructType = EMP
 
     A file that isn't a JSON object is one reject (``invalid_json``, null key), and so is each record that is null or no object.
     """
-    parsed = _whole(spark, path).select("path", F.from_json("value", T.MapType(T.StringType(), schema)).alias("m"), (F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")).alias("fine"))
+    parsed = _whole(spark, path).select("path", F.from_json("value", "map<string,string>").alias("m"), (F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")).alias("fine"))
     fine = F.coalesce("fine", F.lit(False)) & F.col("m").isNotNull()
-    each = parsed.where(fine).select("path", F.explode("m").alias("key", "r"))
+    each = parsed.where(fine).select("path", F.explode("m").alias("key", "x")).withColumn("r", F.from_json("x", schema))
     own = F.coalesce(F.col("key") == F.col(f"r.{key}"), F.lit(False))
     broken = parsed.where(~fine).select("path", F.lit(None).cast("string").alias("key"), F.lit("invalid_json").alias("reason"))
     return each.where(own).select("path", "r.*"), each.where(~own).select("path", "key", F.lit("invalid_shape").alias("reason")).unionByName(broken)
@@ -68,9 +75,9 @@ def read_keyed_object(spark: SparkSession, path: str, schema: T.StructType = EMP
 
 def read_array(spark: SparkSession, path: str, schema: T.StructType = CUSTOMER, required: tuple[str, ...] = ("id", "name")) -> tuple[DataFrame, DataFrame]:
     """records and rejects (by index) of files that hold one JSON array each; a file that isn't one is a reject with a null index."""
-    parsed = _whole(spark, path).select("path", F.from_json("value", T.ArrayType(schema)).alias("a"), (F.try_parse_json("value").isNotNull() & F.trim("value").startswith("[")).alias("fine"))
+    parsed = _whole(spark, path).select("path", F.from_json("value", "array<string>").alias("a"), (F.try_parse_json("value").isNotNull() & F.trim("value").startswith("[")).alias("fine"))
     good = F.coalesce("fine", F.lit(False)) & F.col("a").isNotNull()
-    each = parsed.where(good).select("path", F.posexplode("a").alias("index", "r"))
+    each = parsed.where(good).select("path", F.posexplode("a").alias("index", "x")).withColumn("r", F.from_json("x", schema))  # element by element: a bad one doesn't take the others along
     fine = F.coalesce(sum(((F.length(F.col(f"r.{c}")) > 0).cast("int") for c in required), F.lit(0)) == len(required), F.lit(False))
     broken = parsed.where(~good).select("path", F.lit(None).cast("int").alias("index"), F.lit("invalid_json").alias("reason"))
     return each.where(fine).select("path", "index", "r.*"), each.where(~fine).select("path", "index", F.lit("invalid_shape").alias("reason")).unionByName(broken)
