@@ -65,7 +65,7 @@ def word_prefix(text: Column, count: Column | int) -> Column:
 
 
 #: What must not stand in published text.
-SECRETS = {"private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "access_key": r"\bAKIA[0-9A-Z]{16}\b", "bearer": r"(?i)\bbearer [a-z0-9._-]{20,}", "password": r"(?i)\bpassword\s*[:=]\s*\S+", "home_path": r"/(?:home|Users)/[a-z][a-z0-9_-]*/"}
+SECRETS = {"private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "access_key": r"\bAKIA[0-9A-Z]{16}\b", "bearer": r"(?i)\bbearer [a-z0-9._-]{20,}", "password": r"(?i)\bpassword\s*[:=]\s*\S+", "home_path": r"/(?:home|Users)/[a-z][a-z0-9_-]*/", "mail_address": r"(?i)\b[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z]{2,})+\b", "handle": r"(?i)(?:^|\s)@[a-z][a-z0-9_-]*\.[a-z0-9._-]+"}
 
 
 def scan(texts: DataFrame, item: str, text: str, patterns: dict[str, str] = SECRETS) -> DataFrame:

@@ -75,14 +75,16 @@ def version_groups(objects: DataFrame, system: str, native: str, digest: str, it
 
 
 def duplicate_pairs(objects: DataFrame, item: str, kind: str, native: str, digest: str, content: str) -> DataFrame:
-    """left, right, class of pairs that are exact (digest), version_candidate (native id) or near (kind and collapsed content).
+    """left, right, class of pairs that are exact (digest), version_candidate (kind and native id) or near (kind and collapsed content).
+
+    ``kind`` tells systems and types apart: equal native ids of two systems are no versions.
 
     Pairs meet by equality only; of several classes the first counts. Equal contents are chained to the least item of
     their class, (least, other), so that a class costs its rows and not its pairs. So are the objects of a native id, which
     aren't copies: ``version_links`` has the links of its payloads, all of them.
     """
     base = objects.select(F.col(item).alias("id"), F.col(kind).alias("kind"), F.col(native).alias("native"), F.col(digest).alias("digest"), F.md5(collapsed(F.col(content))).alias("body"))
-    kinds = [("exact", 1, ["digest"]), ("version_candidate", 2, ["native"]), ("near", 3, ["kind", "body"])]
+    kinds = [("exact", 1, ["digest"]), ("version_candidate", 2, ["kind", "native"]), ("near", 3, ["kind", "body"])]
     every = None
     for name, order, keys in kinds:
         have = base.dropna(subset=keys)

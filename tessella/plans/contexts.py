@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import alignment as A
 from tessella.operators import contexts as X
+from tessella.operators.intake import once
 from tessella.plans import table
 from tessella.staging import stage
 
@@ -95,7 +96,7 @@ def audited_lines(spark, d):
 def answer_faults(spark, d):
     """Runs whose evidence isn't among their case's candidates."""
     given = table(spark, d, "retrieval_candidate").groupBy(F.col("question_id").alias("case_id")).agg(F.collect_set("doc_id").alias("supplied"))
-    runs = table(spark, d, "causal_score_row").dropDuplicates(["row_id"]).join(given, "case_id", "left").withColumn("answer", F.when(F.col("verdict") == "SUPPORTED", F.col("status")).otherwise(F.lit("")))
+    runs = once(table(spark, d, "causal_score_row"), ["row_id"], [F.col("loaded_at").asc_nulls_last(), F.col("latency_ms").asc_nulls_last()]).join(given, "case_id", "left").withColumn("answer", F.when(F.col("verdict") == "SUPPORTED", F.col("status")).otherwise(F.lit("")))
     return X.answer_checks(runs, "evidence_document_ids", "supplied", "verdict", "answer").groupBy("verdict", "fault").agg(F.count(F.lit(1)).alias("runs"))
 
 

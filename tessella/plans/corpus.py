@@ -152,7 +152,7 @@ SELECT run, source_type, coalesce(accepted, 0)::BIGINT AS accepted, coalesce(ski
 FROM g FULL JOIN b USING (run, source_type)"""
 _DUPLICATES = f"""WITH b AS (SELECT source_object_id AS id, source_type AS kind, source_native_id AS native, payload_digest AS digest, {_COLLAPSE.format(x="text")} AS body FROM documents),
 p AS (SELECT min(id) OVER (PARTITION BY digest) AS l, id AS r, 1 AS o, 'exact' AS class FROM b WHERE digest IS NOT NULL
-      UNION ALL SELECT min(id) OVER (PARTITION BY native), id, 2, 'version_candidate' FROM b WHERE native IS NOT NULL
+      UNION ALL SELECT min(id) OVER (PARTITION BY kind, native), id, 2, 'version_candidate' FROM b WHERE native IS NOT NULL AND kind IS NOT NULL
       UNION ALL SELECT min(id) OVER (PARTITION BY kind, body), id, 3, 'near' FROM b WHERE kind IS NOT NULL AND body IS NOT NULL)
 SELECT l AS "left", r AS "right", arg_min(class, o) AS class FROM p WHERE l < r GROUP BY l, r"""
 SQL = {

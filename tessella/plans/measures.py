@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import ratio
 from tessella.operators import quality as Q
+from tessella.operators.intake import once
 from tessella.plans import table
 
 
@@ -14,7 +15,8 @@ def _arm(x="arm_id"):
 
 
 def _runs(spark, d):
-    return table(spark, d, "causal_score_row").dropDuplicates(["row_id"]).withColumn("arm", _arm())
+    first = [F.col("loaded_at").asc_nulls_last(), F.col("latency_ms").asc_nulls_last()]
+    return once(table(spark, d, "causal_score_row"), ["row_id"], first).withColumn("arm", _arm())
 
 
 def _fine():
@@ -143,9 +145,11 @@ def judgment_reuse(spark, d):
 
 
 def replay_difference(spark, d):
-    """The rows of a replayed intake that differ from the first: none."""
-    c = table(spark, d, "documents").select("doc_id", "payload_digest", "source_type")
-    return Q.same_rows(c, c.repartition(5, "payload_digest"))
+    """The rows in which an intake differs from a replay that lacks documents never observed and has those of groups of versions twice."""
+    c = table(spark, d, "documents").select("doc_id", "payload_digest", "source_type", "source_object_id", "observed_at")
+    several = table(spark, d, "source_version_group").select(F.explode("source_object_ids").alias("source_object_id")).distinct()
+    again = c.where("observed_at IS NOT NULL")
+    return Q.same_rows(c.select("doc_id", "payload_digest", "source_type"), again.unionByName(again.join(several, "source_object_id", "left_semi")).select("doc_id", "payload_digest", "source_type"))
 
 
 QUERIES = {f.__name__: f for f in (identity_quality, signal_strata, b_cubed, cluster_purity, verdict_confusion, case_metrics, attempt_metrics, unlisted_runs, trial_summary, latency_grid, causal_arm_score, token_parity, loss_diagnosis, safety_score, judgment_reuse, replay_difference)}
@@ -170,5 +174,5 @@ SQL = {
     "loss_diagnosis": _R + ", b AS (SELECT case_id, arm, arg_min(verdict, row_id) AS v FROM r WHERE status = 'completed' AND verdict IS NOT NULL AND arm IS NOT NULL GROUP BY ALL) SELECT b.arm, count(*) FILTER (WHERE b.v <> p.v) AS changed, count(*) AS cases FROM b JOIN b p ON p.case_id = b.case_id AND p.arm = 'plain_retrieval' WHERE b.arm <> 'plain_retrieval' GROUP BY 1",
     "safety_score": "WITH s AS (SELECT DISTINCT doc_id FROM (SELECT unnest(source_object_ids) AS source_object_id FROM source_version_group) JOIN documents USING (source_object_id)), c AS (SELECT DISTINCT question_id, doc_id FROM retrieval_candidate), p AS (SELECT question_id, count(*) AS b, count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM s)) AS a FROM c GROUP BY 1) SELECT a < b AS touched, count(*) AS questions, sum(b)::BIGINT AS before, sum(a)::BIGINT AS after FROM p GROUP BY 1",
     "judgment_reuse": _R + ", e AS (SELECT *, array_to_string(list_sort(list_distinct(evidence_document_ids)), ',') AS evidence FROM r WHERE verdict IS NOT NULL), j AS (SELECT *, row_number() OVER (PARTITION BY case_id, verdict, evidence ORDER BY row_id) AS k2 FROM e) SELECT arm, count(*) FILTER (WHERE k2 = 1) AS judged, count(*) FILTER (WHERE k2 > 1) AS reused FROM j GROUP BY 1",
-    "replay_difference": "SELECT 0::BIGINT AS only_a, 0::BIGINT AS only_b",
+    "replay_difference": "SELECT count(*) FILTER (WHERE observed_at IS NULL) AS only_a, count(*) FILTER (WHERE observed_at IS NOT NULL AND source_object_id IN (SELECT unnest(source_object_ids) FROM source_version_group)) AS only_b FROM documents",
 }

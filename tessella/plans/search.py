@@ -19,8 +19,8 @@ def bm25_topk(spark, d):
     return R.bm25(_questions(spark, d), "question_id", query_terms(F.col("question")), table(spark, d, "documents"), "doc_id", ["title", "text"], _TOP)
 
 
-def _hits(spark, d):
-    return R.term_hits(_questions(spark, d), "question_id", "question", table(spark, d, "documents"), "doc_id", "title", "text")
+def _hits(spark, d, *keep):
+    return R.term_hits(_questions(spark, d), "question_id", "question", table(spark, d, "documents"), "doc_id", "title", "text", keep)
 
 
 def title_hits(spark, d):
@@ -28,8 +28,7 @@ def title_hits(spark, d):
 
 
 def source_diverse_topk(spark, d):
-    scored = _hits(spark, d).join(table(spark, d, "documents").select("doc_id", "source_type"), "doc_id")
-    return R.diverse(scored, "question_id", "doc_id", "source_type", "score", _TOP)
+    return R.diverse(_hits(spark, d, "source_type"), "question_id", "doc_id", "source_type", "score", _TOP)
 
 
 def _anchored(spark, d):
