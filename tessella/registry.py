@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("corpus", "resolution", "adjudication", "network", "evidence", "search", "measures", "scores", "contexts", "checks")
+MODULES: tuple[str, ...] = ("corpus", "resolution", "adjudication", "network", "evidence", "search", "measures", "scores", "contexts", "checks", "cases")
 
 
 def _gather(what: str) -> dict:
