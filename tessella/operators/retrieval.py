@@ -23,8 +23,8 @@ def postings(documents: DataFrame, item: str, texts: list[str], wanted: DataFram
 def bm25(queries: DataFrame, query: str, terms: Column, documents: DataFrame, item: str, texts: list[str], k: int) -> DataFrame:
     """query, item, score, place: the ``k`` best documents of each query.
 
-    Only the postings of terms that some query has leave their task, and are kept as a table. They are then placed by document, so
-    that a document's scores are summed where they are, and ranking keeps ``k`` of a query in each task before anything of a query is shuffled.
+    Only the postings of terms that some query has leave their task, and are kept as a table. Scores are summed before they are shuffled, and
+    ranking keeps ``k`` of a query in each task first.
     """
     asked = queries.select(query, F.explode(terms).alias("term")).distinct()
     lengths = documents.select(F.size(words(F.concat_ws(" ", *texts))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
@@ -33,7 +33,7 @@ def bm25(queries: DataFrame, query: str, terms: Column, documents: DataFrame, it
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weighted = asked.join(often, "term").crossJoin(F.broadcast(lengths)).select(query, "term", idf.alias("idf"), "mean")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = found.repartition(item).join(weighted, "term").groupBy(query, item).agg(F.round(F.sum(part), 6).alias("score"))
+    scores = found.join(weighted, "term").groupBy(query, item).agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scores, query, item, "score", k)
 
 
@@ -54,14 +54,14 @@ def diverse(scores: DataFrame, query: str, item: str, source: str, score: str, k
 def term_hits(queries: DataFrame, query: str, question: str, documents: DataFrame, item: str, title: str, body: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """query, item, ``keep``, score: of each of the question's terms 5 if the title has it and up to 3 for its count in the body.
 
-    Title and body are read in one pass, and words that no question has end in their task. A document's points are summed where it is placed.
+    Title and body are read in one pass, and words that no question has end in their task. Points are summed before they are shuffled.
     """
     asked = queries.select(query, F.explode(query_terms(F.col(question))).alias("term")).distinct()
     tagged = lambda column, t: F.transform(F.coalesce(words(F.col(column)), F.array().cast("array<string>")), lambda w: F.struct(w.alias("term"), F.lit(t).alias("t")))
     every = documents.select(item, *keep, F.explode(F.concat(tagged(title, True), tagged(body, False))).alias("w")).select(item, *keep, "w.term", "w.t")
     counted = every.join(asked.select("term").distinct(), "term", "left_semi").groupBy(item, *keep, "term").agg(F.bool_or("t").alias("t"), F.count_if(~F.col("t")).alias("b"))
     points = F.when(F.col("t"), 5).otherwise(0) + F.least(F.lit(3), F.col("b"))
-    placed = counted.select(item, *keep, "term", points.cast("bigint").alias("p")).repartition(item)
+    placed = counted.select(item, *keep, "term", points.cast("bigint").alias("p"))
     return placed.join(asked, "term").groupBy(query, item, *keep).agg(F.sum("p").alias("score"))
 
 
