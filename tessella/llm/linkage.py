@@ -192,8 +192,8 @@ def vote(pairs: DataFrame, nodes: DataFrame, first_names, shared_phones) -> Data
 class LabelModel:
     """p(match), and in each class (one person, strangers, namesakes) the votes as a tree of dependencies learned from all combinations of votes."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, votes: dict[str, int] = VOTES, start: np.ndarray | None = None) -> None:
-        """``start``: log odds from which learning begins in place of ``_PRIOR`` and the guesses of ``VOTES``."""
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, votes: dict[str, int] = VOTES, start: np.ndarray | None = None, nameless: float = NAMELESS) -> None:
+        """``start``: log odds from which learning begins in place of ``_PRIOR`` and the guesses of ``VOTES``; ``nameless``: the most that names of one person may differ."""
         self._sizes = list(votes.values())
         own = [v for v in votes if start is None or v not in VOTES]
         guess = (_PRIOR if start is None else start) + sum(np.array(_GUESS[v])[patterns[:, list(votes).index(v)]] for v in own)
@@ -202,7 +202,7 @@ class LabelModel:
         stranger = np.where(patterns[:, list(votes).index("name")] == 1, 0.95, 0.05)
         shares = np.stack([match, (1 - match) * stranger, (1 - match) * (1 - stranger)], 1)
         for _ in range(ROUNDS):
-            logs = np.stack([np.log((w := shares[:, k] * counts).sum() + 1) + self._log_likelihood(patterns, w, NAMELESS if k == 0 else 1.0) for k in range(3)], 1)
+            logs = np.stack([np.log((w := shares[:, k] * counts).sum() + 1) + self._log_likelihood(patterns, w, nameless if k == 0 else 1.0) for k in range(3)], 1)
             logs -= logs.max(1, keepdims=True)
             new = np.exp(logs) / np.exp(logs).sum(1, keepdims=True)
             done = float(np.abs(new - shares).max(initial=0)) < 1e-6
