@@ -12,10 +12,10 @@ from tessella.operators.quality import nearest_rank, set_overlap
 
 #: The arms of the experiment, and for each what is removed from the context.
 ARMS = {
-    "plain_retrieval": None, "random_matched_removal": "drawn", "superseded_evidence_removal": "superseded", "current_evidence_pinning": "not_current", "full_alethia_grounding": "superseded",
+    "plain_retrieval": None, "random_matched_removal": "drawn", "superseded_evidence_removal": "superseded", "current_evidence_pinning": "not_current", "full_grounding": "superseded",
     "prompt_only_conflict_reconciliation": None, "no_hydra": None, "no_identity_resolution": "superseded", "no_ontology_alignment": "superseded", "no_conflict_policy": None,
 }
-FULL = "full_alethia_grounding"
+FULL = "full_grounding"
 
 
 def _abstains(x: Column) -> Column:

@@ -37,7 +37,7 @@ def holdout_faults(spark, d):
     """Listed cases without exactly one run of the full arm, and runs of cases that aren't listed."""
     listed = table(spark, d, "conflict_case").where("question_id IS NOT NULL").select(F.col("question_id").alias("case_id"))
     every = once(table(spark, d, "causal_score_row"), ["row_id"], [F.col("loaded_at").asc(), F.col("latency_ms").asc()])
-    runs = every.where("case_id IS NOT NULL AND replace(lower(trim(arm_id)), '-', '_') = 'full_alethia_grounding'")
+    runs = every.where("case_id IS NOT NULL AND replace(lower(trim(arm_id)), '-', '_') RLIKE '^full_[a-z]+_grounding$'")
     return K.accounting_faults(listed, runs, "case_id")
 
 
@@ -128,7 +128,7 @@ SQL = {
     "request_faults": _Q + "SELECT question_id, question, CASE WHEN NOT coalesce(length(trim(question, ' ')) BETWEEN 8 AND 240, false) THEN 'question' WHEN NOT coalesce(regexp_matches(question_id, '^[\\p{L}\\p{N}][\\p{L}\\p{N} ._:@-]{0,119}$'), false) THEN 'entity' WHEN NOT coalesce(regexp_matches(lower(regexp_extract(question, '([A-Za-z]+) limit', 1)), '^[a-z][a-z0-9_]{0,63}$'), false) THEN 'predicate' WHEN NOT coalesce(question_type IN ('conflicting_info', 'lookup', 'multi_hop'), false) THEN 'scope' END AS fault FROM q",
     "manifest_faults": "SELECT DISTINCT question_id, maximum_documents, array_to_string(list_sort(list_distinct(source_types)), ',') AS sources, CASE WHEN NOT coalesce(length(trim(question, ' ')) > 0, false) THEN 'question' WHEN NOT coalesce(len(list_distinct(source_types)) > 0, false) THEN 'sources' WHEN NOT coalesce(maximum_documents BETWEEN 1 AND 10, false) THEN 'documents' END AS fault FROM (SELECT DISTINCT * FROM conflict_case)",
     "label_faults": "WITH r AS (SELECT row_id, verdict, len(coalesce(evidence_document_ids, [])) AS n, count(*) OVER (PARTITION BY row_id) AS k FROM causal_score_row WHERE status = 'completed') SELECT CASE WHEN row_id IS NULL THEN 'no_key' WHEN k > 1 THEN 'repeated' WHEN NOT coalesce(verdict IN ('SUPPORTED', 'DISPUTED', 'NOT_FOUND', 'UNKNOWN'), false) THEN 'verdict' WHEN verdict IN ('SUPPORTED', 'DISPUTED') AND n = 0 THEN 'evidence' END AS fault, count(*) AS labels FROM r GROUP BY 1",
-    "holdout_faults": "WITH l AS (SELECT DISTINCT question_id AS case_id, true AS listed FROM conflict_case WHERE question_id IS NOT NULL), r AS (SELECT case_id, count(DISTINCT row_id) AS n FROM causal_score_row WHERE case_id IS NOT NULL AND replace(lower(trim(arm_id, ' ')), '-', '_') = 'full_alethia_grounding' GROUP BY 1) SELECT case_id, CASE WHEN listed IS NULL THEN 'unlisted' WHEN n IS NULL THEN 'not_run' ELSE 'run_again' END AS fault FROM l FULL JOIN r USING (case_id) WHERE listed IS NULL OR n IS NULL OR n > 1",
+    "holdout_faults": "WITH l AS (SELECT DISTINCT question_id AS case_id, true AS listed FROM conflict_case WHERE question_id IS NOT NULL), r AS (SELECT case_id, count(DISTINCT row_id) AS n FROM causal_score_row WHERE case_id IS NOT NULL AND regexp_matches(replace(lower(trim(arm_id, ' ')), '-', '_'), '^full_[a-z]+_grounding$') GROUP BY 1) SELECT case_id, CASE WHEN listed IS NULL THEN 'unlisted' WHEN n IS NULL THEN 'not_run' ELSE 'run_again' END AS fault FROM l FULL JOIN r USING (case_id) WHERE listed IS NULL OR n IS NULL OR n > 1",
     "event_digests": "WITH e AS (SELECT event_type, CASE WHEN json_valid(props) THEN props END AS p FROM events) SELECT event_type, count(DISTINCT CAST(json(p) AS VARCHAR)) AS digests, count(DISTINCT CAST(json_extract(p, '$.k') AS VARCHAR)) AS values, count(*) FILTER (WHERE json_exists(p, '$.k')) AS with_key FROM e GROUP BY 1",
     "forbidden_keys": "SELECT DISTINCT question_id, maximum_documents, CASE WHEN maximum_documents % 2 = 0 THEN '$.case[0].gold_answer' END AS path FROM conflict_case",
     "response_grounding": "WITH c AS (SELECT DISTINCT claim_id, predicate, object_value, source_object_id FROM claim WHERE source_object_id IS NOT NULL), f AS (SELECT source_object_id, CASE WHEN NOT coalesce(regexp_matches(predicate, '^[a-z0-9]+(_[a-z0-9]+)*$'), false) THEN 'invalid_schema' WHEN NOT coalesce(length(trim(object_value, ' ')) > 0, false) THEN 'malformed_output' END AS f FROM c), r AS (SELECT source_object_id, min(f) AS reason, count(*) AS n FROM f GROUP BY 1) SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, count(*) AS responses, sum(n)::BIGINT AS observations FROM r GROUP BY ALL",

@@ -16,7 +16,7 @@ _STATES = ("SUPPORTED", "DISPUTED", "NOT_FOUND", "UNKNOWN")
 
 def _runs(spark, d):
     """One row a row_id, the one loaded first; one run a case and arm, the last one."""
-    every = once(table(spark, d, "causal_score_row"), ["row_id"], [F.col("loaded_at").asc(), F.col("latency_ms").asc()]).withColumn("arm", F.replace(F.lower(F.trim("arm_id")), F.lit("-"), F.lit("_"))).withColumn("verdict", F.upper("verdict"))
+    every = once(table(spark, d, "causal_score_row"), ["row_id"], [F.col("loaded_at").asc(), F.col("latency_ms").asc()]).withColumn("arm", F.regexp_replace(F.replace(F.lower(F.trim("arm_id")), F.lit("-"), F.lit("_")), "^full_[a-z]+_grounding$", "full_grounding")).withColumn("verdict", F.upper("verdict"))
     return once(every.where("case_id IS NOT NULL AND arm IS NOT NULL"), ["case_id", "arm"], [F.col("run_at").desc_nulls_last(), F.col("row_id").desc()])
 
 
@@ -161,7 +161,7 @@ def version_candidates(spark, d):
 QUERIES = {f.__name__: f for f in (case_report, attempt_report, conflict_lane, proof_summary, causal_arms, loss_categories, pair_scores, accepted_class, identity_ablation, gold_identity_pairs, benchmark_cases, version_candidates)}
 
 _R = """WITH r0 AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY loaded_at NULLS FIRST, latency_ms NULLS FIRST) AS k FROM causal_score_row),
-r1 AS (SELECT * EXCLUDE (verdict, k), upper(verdict) AS verdict, replace(lower(trim(arm_id, ' ')), '-', '_') AS arm, coalesce(evidence_document_ids, []) AS own, CASE WHEN NOT isnan(latency_ms) THEN latency_ms END AS latency FROM r0 WHERE k = 1),
+r1 AS (SELECT * EXCLUDE (verdict, k), upper(verdict) AS verdict, regexp_replace(replace(lower(trim(arm_id, ' ')), '-', '_'), '^full_[a-z]+_grounding$', 'full_grounding') AS arm, coalesce(evidence_document_ids, []) AS own, CASE WHEN NOT isnan(latency_ms) THEN latency_ms END AS latency FROM r0 WHERE k = 1),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, arm ORDER BY run_at DESC NULLS LAST, row_id DESC) AS k FROM r1 WHERE case_id IS NOT NULL AND arm IS NOT NULL) WHERE k = 1),
 q AS (SELECT question_id AS case_id, max(maximum_documents) AS most FROM conflict_case WHERE question_id IS NOT NULL GROUP BY 1),
 b0 AS (SELECT question_id AS case_id, doc_id, max(score) AS score FROM retrieval_candidate WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
@@ -210,7 +210,7 @@ SQL = {
     "causal_arms": _CONTEXT + f", g AS ({_GONE}), gn AS (SELECT *, row_number() OVER (PARTITION BY case_id, arm, tokens ORDER BY place) AS k FROM g), po AS (SELECT DISTINCT question_id AS case_id, doc_id FROM retrieval_candidate), sp AS (SELECT case_id, po.doc_id AS replacement, tokens, row_number() OVER (PARTITION BY case_id, tokens ORDER BY po.doc_id DESC) AS k FROM po JOIN dc USING (doc_id) WHERE (case_id, po.doc_id) NOT IN (SELECT (case_id, doc_id) FROM cx) AND case_id IS NOT NULL) SELECT case_id, arm, doc_id, replacement FROM gn LEFT JOIN sp USING (case_id, tokens, k)",
     "loss_categories": _CONTEXT + """, mi AS (SELECT question_id AS case_id, count(DISTINCT doc_id) AS n FROM retrieval_candidate WHERE doc_id IN (SELECT doc_id FROM m) AND (question_id, doc_id) NOT IN (SELECT (case_id, doc_id) FROM cx) GROUP BY 1), re AS (SELECT DISTINCT case_id FROM cx WHERE superseded),
       ru AS (SELECT *, concat_ws('|', coalesce(status, ''), coalesce(verdict, ''), array_to_string(list_sort(evidence_document_ids), ',')) AS s FROM r WHERE arm IN """ + str(tuple(S.ARMS)) + """),
-      by_ AS (SELECT case_id, count(*) AS n, max(s) FILTER (WHERE arm = 'full_alethia_grounding') AS f, max(s) FILTER (WHERE arm = 'no_conflict_policy') AS c, max(s) FILTER (WHERE arm = 'no_identity_resolution') AS i, max(s) FILTER (WHERE arm = 'no_ontology_alignment') AS a, count(DISTINCT coalesce(context_token_budget, -1)) AS bu, bool_or(coalesce(status = 'failed' AND latency > 1000, false)) AS late, bool_or(status = 'rejected') AS ref FROM ru GROUP BY 1),
+      by_ AS (SELECT case_id, count(*) AS n, max(s) FILTER (WHERE arm = 'full_grounding') AS f, max(s) FILTER (WHERE arm = 'no_conflict_policy') AS c, max(s) FILTER (WHERE arm = 'no_identity_resolution') AS i, max(s) FILTER (WHERE arm = 'no_ontology_alignment') AS a, count(DISTINCT coalesce(context_token_budget, -1)) AS bu, bool_or(coalesce(status = 'failed' AND latency > 1000, false)) AS late, bool_or(status = 'rejected') AS ref FROM ru GROUP BY 1),
       k AS (SELECT unnest(CASE WHEN n <> 10 THEN ['incomplete'] ELSE list_filter([CASE WHEN case_id IN (SELECT case_id FROM mi) THEN 'retrieval' END, CASE WHEN case_id IN (SELECT case_id FROM re) OR f IS DISTINCT FROM c THEN 'conflict-policy' END, CASE WHEN f IS DISTINCT FROM i THEN 'identity' END, CASE WHEN f IS DISTINCT FROM a THEN 'alignment' END, CASE WHEN bu > 1 THEN 'context-budget' END, CASE WHEN late THEN 'model-timeout' END, CASE WHEN ref THEN 'scorer-failure' END], lambda z: z IS NOT NULL) END) AS category FROM by_)
       SELECT category, count(*) AS cases FROM k GROUP BY 1""",
     "pair_scores": _IDS + f", g AS (SELECT DISTINCT l, r FROM y WHERE status = 'accepted'), p AS (SELECT l, r FROM z WHERE last_ = 'accepted'), n AS (SELECT (SELECT count(*) FROM g JOIN p USING (l, r)) AS tp, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM g) AS ng), s AS (SELECT tp, np - tp AS fp, ng - tp AS fn, {_SAFE.format(n='tp', d='np')} AS p, {_SAFE.format(n='tp', d='ng')} AS c FROM n) SELECT tp, fp, fn, round(p, 9) AS precision, round(c, 9) AS recall, round({_F1}, 9) AS f1 FROM s",

@@ -126,7 +126,7 @@ def test_arms_and_losses(spark):
     by = {}
     for c, arm, doc, stand_in in rows(S.causal_arms(contexts, pool, "case", "doc", "seed")):
         by.setdefault(arm, {})[doc] = stand_in
-    assert by["superseded_evidence_removal"] == {2: 8, 3: None} == by["full_alethia_grounding"] and by["current_evidence_pinning"] == {2: 8, 3: None} and len(by["random_matched_removal"]) == 1 and "plain_retrieval" not in by
+    assert by["superseded_evidence_removal"] == {2: 8, 3: None} == by["full_grounding"] and by["current_evidence_pinning"] == {2: 8, 3: None} and len(by["random_matched_removal"]) == 1 and "plain_retrieval" not in by
     runs = [("c", a, "completed", "x" if a != "no_identity_resolution" else "y", 1) for a in S.ARMS] + [("d", "no_hydra", "completed", "x", 1)]
     df = spark.createDataFrame(runs, "case string, arm string, status string, verdict string, budget int")
     n = lambda *x: spark.createDataFrame(list(x), "case string, n int")
