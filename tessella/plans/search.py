@@ -20,7 +20,7 @@ def bm25_topk(spark, d):
 
 
 def _hits(spark, d, *keep):
-    return R.term_hits(_questions(spark, d), "question_id", "question", table(spark, d, "documents"), "doc_id", "title", "text", keep)
+    return R.best_hits(_questions(spark, d), "question_id", "question", table(spark, d, "documents"), "doc_id", "title", "text", _TOP, keep)
 
 
 def title_hits(spark, d):

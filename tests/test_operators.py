@@ -304,3 +304,21 @@ def test_lines_come_from_all_ranked_documents(spark, monkeypatch):
     monkeypatch.setattr(search, "title_hits", lambda s, d: spark.createDataFrame(hits, "question_id string, doc_id bigint, score double, place int"))
     monkeypatch.setattr(plan, "table", lambda s, d, name: docs)
     assert rows(plan.diverse_segments(spark, "").select("question_id", "place", "segment")) == [("p", 1, same), ("p", 2, "four five"), ("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c"), ("r", 1, "four five"), ("r", 2, "late"), ("r", 3, "a")]
+
+
+def _texts(spark, n=700):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: rng.choices("abcdefgh", [40, 30, 20, 10, 5, 3, 2, 1])[0] * 2
+    docs = spark.createDataFrame([(i, f"s{i % 3}" if i % 7 else None, " ".join(word() for _ in range(3)), " ".join(word() for _ in range(rng.randint(0, 12)))) for i in range(n)] + [(5, "s2", "aa", "bb bb")], "d bigint, src string, title string, body string")
+    return spark.createDataFrame([(f"q{i}", " ".join(word() for _ in range(4))) for i in range(40)] + [("none", "zz"), ("void", None)], "q string, question string"), docs
+
+
+def test_best_hits_are_those_of_all_hits(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "DOCUMENTS", 90)
+    q, docs = _texts(spark)
+    plain = retrieval.best_hits(q, "q", "question", docs, "d", "title", "body", 5)
+    want = rows(retrieval.ranked(retrieval.term_hits(q, "q", "question", docs, "d", "title", "body"), "q", "d", "score", 5))
+    assert rows(retrieval.ranked(plain, "q", "d", "score", 5)) == want and len(want) == 200
+    assert plain.groupBy("q").count().agg(F.max("count")).first()[0] <= 5 * 8  # of each of 8 chunks 5, not all that share a word
