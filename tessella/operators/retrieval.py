@@ -17,31 +17,37 @@ from tessella.staging import stage
 K1, B = 1.2, 0.75
 #: Documents that are scored at once, and queries whose terms meet them in one task.
 DOCUMENTS, QUERIES = 32_768, 65_536
+#: What two scores of one rounded value may differ by.
+SLACK = 2e-6
 
 
-def postings(documents: DataFrame, item: str, texts: list[str], wanted: DataFrame | None = None) -> DataFrame:
-    """item, term, tf, length of every term of the concatenated texts; of ``wanted`` (term) alone, if given, before anything is shuffled."""
-    every = documents.select(item, words(F.concat_ws(" ", *texts)).alias("w")).select(item, F.size("w").cast("bigint").alias("length"), F.explode("w").alias("term"))
+def postings(documents: DataFrame, item: str, texts: list[str], wanted: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """item, term, tf, length of every term of the concatenated texts, and of each of ``more`` once a document; of ``wanted`` (term) alone, if given, before anything is shuffled."""
+    terms = F.concat("w", F.array(*map(F.lit, more))) if more else F.col("w")
+    every = documents.select(item, words(F.concat_ws(" ", *texts)).alias("w")).select(item, F.size("w").cast("bigint").alias("length"), F.explode(terms).alias("term"))
     if wanted is not None:
-        every = every.join(wanted, "term", "left_semi")
+        every = every.join(F.broadcast(wanted), "term", "left_semi")
     return every.groupBy(item, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(queries: DataFrame, query: str, terms: Column, documents: DataFrame, item: str, texts: list[str], k: int) -> DataFrame:
     """query, item, score, place: the ``k`` best documents of each query.
 
-    Only the postings of terms that some query has leave their task, and are kept as a table. Scores are summed before they are shuffled, and
-    ranking keeps ``k`` of a query in each task first.
+    Only the postings of terms that some query has leave their task, and are kept as a table. Scores are summed where a chunk of the documents
+    meets the queries (``best_sums``).
     """
     asked = queries.select(query, F.explode(terms).alias("term")).distinct()
-    lengths = documents.select(F.size(words(F.concat_ws(" ", *texts))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    found = stage(postings(documents, item, texts, asked.select("term").distinct()), "postings")
+    # Texts are read once: a row of the empty term, which no text has, counts each document and its words.
+    every = documents.sparkSession.range(1).select(F.lit("").alias("term"))
+    kept = stage(postings(documents, item, texts, asked.select("term").distinct().unionByName(every), ("",)), "postings")
+    lengths = stage(kept.where("term = ''").agg(F.sum("tf").alias("docs"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean")), "lengths")
+    found = kept.where("term <> ''")
     often = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = asked.join(often, "term").crossJoin(F.broadcast(lengths)).select(query, "term", idf.alias("idf"), "mean")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = found.join(weighted, "term").groupBy(query, item).agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scores, query, item, "score", k)
+    weighted = asked.join(often, "term").crossJoin(F.broadcast(lengths)).select(query, "term", idf.alias("factor"))
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    scores = best_sums(found.crossJoin(F.broadcast(lengths)).select(item, "term", part.alias("weight")), weighted, query, item, (), k, SLACK)
+    return ranked(scores.withColumn("score", F.round("score", 6)), query, item, "score", k)
 
 
 def best_sums(found: DataFrame, asked: DataFrame, query: str, item: str, keep: tuple[str, ...], k: int, slack: float = 0.0) -> DataFrame:
@@ -64,7 +70,7 @@ def best_sums(found: DataFrame, asked: DataFrame, query: str, item: str, keep: t
     keys = [*keep, "__chunk", "__block"]
     left = chunked.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*keys, item, "term", "weight")
     every = sizes.select(*(F.col(f"__{c}").alias(c) for c in keep), F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__chunk"))
-    right = asked.withColumn("__block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int")).crossJoin(every).select(*keys, query, "term", "factor")
+    right = asked.withColumn("__block", F.pmod(F.xxhash64(query), F.lit(blocks)).cast("int")).crossJoin(F.broadcast(every)).select(*keys, query, "term", "factor")
     kinds = dict(found.dtypes) | dict(asked.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (query, item, *keep)), "score double"])
     parts = 2 * blocks * max(1, -(-n // size))  # a number of its own, so that small parts with much to do aren't put together

@@ -322,3 +322,27 @@ def test_best_hits_are_those_of_all_hits(spark, monkeypatch):
     want = rows(retrieval.ranked(retrieval.term_hits(q, "q", "question", docs, "d", "title", "body"), "q", "d", "score", 5))
     assert rows(retrieval.ranked(plain, "q", "d", "score", 5)) == want and len(want) == 200
     assert plain.groupBy("q").count().agg(F.max("count")).first()[0] <= 5 * 8  # of each of 8 chunks 5, not all that share a word
+
+
+def test_bm25_equals_sums_over_all_documents(spark, monkeypatch):
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    monkeypatch.setattr(retrieval, "DOCUMENTS", 90)
+    q, docs = _texts(spark)
+    every = [(r["d"], re.findall("[a-z0-9]+", f"{r['title']} {r['body']}".lower())) for r in docs.collect()]
+    n, mean, texts = len(every), sum(len(w) for _, w in every) / len(every), defaultdict(list)
+    for d, w in every:
+        texts[d, len(w)] += w  # rows of one id and length count as one text, as in the SQL
+    df = Counter(t for w in texts.values() for t in set(w))
+    want = []
+    for r in q.where("question IS NOT NULL").collect():
+        score = defaultdict(float)
+        for (d, length), w in texts.items():
+            for t in set(r["question"].split()) & set(w):
+                tf = w.count(t)
+                score[d] += math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+        want += [(r["q"], d, round(s, 6), i + 1) for i, (d, s) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5])]
+    got = retrieval.bm25(q, "q", retrieval.query_terms(F.col("question")), docs, "d", ["title", "body"], 5)
+    assert rows(got) == sorted(want, key=repr) and "FlatMapCoGroups" in got._jdf.queryExecution().optimizedPlan().toString()
