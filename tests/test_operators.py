@@ -324,6 +324,15 @@ def test_best_hits_are_those_of_all_hits(spark, monkeypatch):
     assert plain.groupBy("q").count().agg(F.max("count")).first()[0] <= 5 * 8  # of each of 8 chunks 5, not all that share a word
 
 
+def test_best_hits_of_every_source(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "DOCUMENTS", 90)
+    q, docs = _texts(spark)
+    every = retrieval.term_hits(q, "q", "question", docs, "d", "title", "body", ("src",))
+    best = retrieval.best_hits(q, "q", "question", docs, "d", "title", "body", 5, ("src",))
+    assert rows(retrieval.diverse(best, "q", "d", "src", "score", 5)) == rows(retrieval.diverse(every, "q", "d", "src", "score", 5))
+    assert best.count() < every.count() / 5
+
+
 def test_bm25_equals_sums_over_all_documents(spark, monkeypatch):
     import math
     import re
