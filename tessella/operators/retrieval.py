@@ -205,12 +205,13 @@ def contained(sets: DataFrame, key: str, member: str, found: DataFrame, query: s
     return hits.join(sizes, key).where("hits = size").select(query, key)
 
 
-def segments(documents: DataFrame, item: str, text: str, widths: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """item, line, width, segment: each run of so many lines of a text that aren't blank."""
+def segments(documents: DataFrame, item: str, text: str, widths: tuple[int, ...] = (1, 2, 3), keep: tuple[str, ...] = ()) -> DataFrame:
+    """item, ``keep``, line, width, segment: each run of so many lines of a text that aren't blank. A row holds its own run only, never the whole text."""
     lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: F.trim(x) != "")
-    each = documents.select(item, lines.alias("l")).select(item, "l", F.posexplode("l").alias("line", "__x"))
-    spans = each.select(item, "l", "line", F.explode(F.array(*map(F.lit, widths))).alias("width")).where(F.col("line") + F.col("width") <= F.size("l"))
-    return spans.select(item, "line", "width", F.array_join(F.slice("l", F.col("line") + 1, F.col("width")), "\n").alias("segment"))
+    each = documents.select(item, *keep, lines.alias("l"))
+    run = lambda w: F.transform(F.col("l"), lambda x, i: F.struct(i.alias("line"), F.lit(w).alias("width"), F.array_join(F.slice("l", i + 1, F.lit(w)), "\n").alias("segment")))
+    runs = F.concat(*(F.slice(run(w), F.lit(1), F.greatest(F.size("l") - (w - 1), F.lit(0))) for w in widths))
+    return each.select(item, *keep, F.inline(runs))
 
 
 def excerpt(text: Column, terms: Column, budget: int, most: int = 12) -> Column:

@@ -52,7 +52,7 @@ def context_policy(spark, d):
 
 def text_segments(spark, d):
     """How many runs of one to three lines the texts of a source type have, and how long they are."""
-    s = R.segments(table(spark, d, "documents").select("doc_id", "source_type", "text"), "doc_id", "text").join(table(spark, d, "documents").select("doc_id", "source_type"), "doc_id")
+    s = R.segments(table(spark, d, "documents").select("doc_id", "source_type", "text"), "doc_id", "text", keep=("source_type",))
     return s.groupBy("source_type", "width").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("segment")).alias("chars"))
 
 

@@ -355,3 +355,12 @@ def test_bm25_equals_sums_over_all_documents(spark, monkeypatch):
         want += [(r["q"], d, round(s, 6), i + 1) for i, (d, s) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5])]
     got = retrieval.bm25(q, "q", retrieval.query_terms(F.col("question")), docs, "d", ["title", "body"], 5)
     assert rows(got) == sorted(want, key=repr) and "FlatMapCoGroups" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_segments_count_each_text_once(spark, monkeypatch):
+    from tessella.plans import search
+
+    docs = spark.createDataFrame([(1, "x", "a\nbb"), (1, "x", "ccc"), (None, "y", "d\n\ne"), (2, "y", None), (3, None, " ")], "doc_id bigint, source_type string, text string")
+    monkeypatch.setattr(search, "table", lambda s, d, name: docs)
+    assert rows(search.text_segments(spark, "")) == [("x", 1, 3, 6), ("x", 2, 1, 4), ("y", 1, 2, 2), ("y", 2, 1, 3)]
+    assert "Join" not in search.text_segments(spark, "")._jdf.queryExecution().optimizedPlan().toString()
