@@ -75,12 +75,28 @@ def scan(texts: DataFrame, item: str, text: str, patterns: dict[str, str] = SECR
     return lines.select(item, (F.col("i") + 1).alias("line"), F.explode(kinds).alias("kind"))
 
 
+def _fault(foreign: Column, verdict: str, answer: str) -> Column:
+    silent = F.col(verdict).isin("UNKNOWN", "NOT_FOUND") & (F.length(F.trim(answer)) > 0)
+    empty = (F.col(verdict) == "SUPPORTED") & (F.coalesce(F.length(F.trim(answer)), F.lit(0)) == 0)
+    return F.when(foreign, "cites_what_it_lacks").when(silent, "answers_an_abstention").when(empty, "says_nothing")
+
+
 def answer_checks(answers: DataFrame, cited: str, supplied: str, verdict: str, answer: str) -> DataFrame:
     """answers with ``fault``: null where an answer cites only what it was given and an abstention says nothing."""
     foreign = F.size(F.array_except(F.coalesce(cited, F.array().cast(dict(answers.dtypes)[cited])), F.coalesce(supplied, F.array().cast(dict(answers.dtypes)[supplied])))) > 0
-    silent = F.col(verdict).isin("UNKNOWN", "NOT_FOUND") & (F.length(F.trim(answer)) > 0)
-    empty = (F.col(verdict) == "SUPPORTED") & (F.coalesce(F.length(F.trim(answer)), F.lit(0)) == 0)
-    return answers.withColumn("fault", F.when(foreign, "cites_what_it_lacks").when(silent, "answers_an_abstention").when(empty, "says_nothing"))
+    return answers.withColumn("fault", _fault(foreign, verdict, answer))
+
+
+def answer_faults(answers: DataFrame, key: str, case: str, cited: str, verdict: str, answer: str, given: DataFrame, item: str) -> DataFrame:
+    """key, verdict, answer, fault as ``answer_checks`` gives them, where what a case was given is a table (case, item) and not a list in each answer.
+
+    Each citation is looked up by its case and item, so an answer costs what it cites, not what its case was given. A null citation is none.
+    """
+    each = answers.select(key, case, verdict, answer, F.explode_outer(F.array_distinct(cited)).alias(item))
+    known = given.select(case, item).distinct().withColumn("__given", F.lit(True))
+    foreign = F.bool_or(F.col(item).isNotNull() & F.col("__given").isNull()).alias("__foreign")
+    own = each.join(known, [case, item], "left").groupBy(key, verdict, answer).agg(foreign)
+    return own.select(key, verdict, answer, _fault(F.col("__foreign"), verdict, answer).alias("fault"))
 
 
 def token_count(text: Column) -> Column:

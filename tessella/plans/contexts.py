@@ -95,9 +95,9 @@ def audited_lines(spark, d):
 
 def answer_faults(spark, d):
     """Runs whose evidence isn't among their case's candidates."""
-    given = table(spark, d, "retrieval_candidate").groupBy(F.col("question_id").alias("case_id")).agg(F.collect_set("doc_id").alias("supplied"))
-    runs = once(table(spark, d, "causal_score_row"), ["row_id"], [F.col("loaded_at").asc_nulls_last(), F.col("latency_ms").asc_nulls_last()]).join(given, "case_id", "left").withColumn("answer", F.when(F.col("verdict") == "SUPPORTED", F.col("status")).otherwise(F.lit("")))
-    return X.answer_checks(runs, "evidence_document_ids", "supplied", "verdict", "answer").groupBy("verdict", "fault").agg(F.count(F.lit(1)).alias("runs"))
+    given = table(spark, d, "retrieval_candidate").select(F.col("question_id").alias("case_id"), "doc_id")
+    runs = once(table(spark, d, "causal_score_row"), ["row_id"], [F.col("loaded_at").asc_nulls_last(), F.col("latency_ms").asc_nulls_last()]).withColumn("answer", F.when(F.col("verdict") == "SUPPORTED", F.col("status")).otherwise(F.lit("")))
+    return X.answer_faults(runs, "row_id", "case_id", "evidence_document_ids", "verdict", "answer", given, "doc_id").groupBy("verdict", "fault").agg(F.count(F.lit(1)).alias("runs"))
 
 
 QUERIES = {f.__name__: f for f in (alignment_terms, alignment_decisions, coverage_gaps, matched_removal, diverse_segments, wording_precedence, word_prefixes, audited_lines, answer_faults)}

@@ -364,3 +364,14 @@ def test_segments_count_each_text_once(spark, monkeypatch):
     monkeypatch.setattr(search, "table", lambda s, d, name: docs)
     assert rows(search.text_segments(spark, "")) == [("x", 1, 3, 6), ("x", 2, 1, 4), ("y", 1, 2, 2), ("y", 2, 1, 3)]
     assert "Join" not in search.text_segments(spark, "")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_citations_are_looked_up_one_by_one(spark, monkeypatch):
+    from tessella.plans import contexts as plan
+
+    runs = [(1, "a", "SUPPORTED", "done", [1, 2, 2, None]), (2, "a", "SUPPORTED", "done", [1, 3]), (3, "b", "SUPPORTED", " ", None), (4, None, "UNKNOWN", "done", [1]), (5, "c", "UNKNOWN", "done", [None]), (None, "a", "DISPUTED", "done", [])]
+    tables = {"causal_score_row": spark.createDataFrame([(*r, None, 1.0) for r in runs], "row_id bigint, case_id string, verdict string, status string, evidence_document_ids array<bigint>, loaded_at timestamp, latency_ms double"), "retrieval_candidate": spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 9), (None, 1)], "question_id string, doc_id bigint")}
+    monkeypatch.setattr(plan, "table", lambda s, d, name: tables[name])
+    got = plan.answer_faults(spark, "")
+    assert rows(got) == sorted([("SUPPORTED", None, 1), ("SUPPORTED", "cites_what_it_lacks", 1), ("SUPPORTED", "says_nothing", 1), ("UNKNOWN", "cites_what_it_lacks", 1), ("UNKNOWN", None, 1), ("DISPUTED", None, 1)], key=repr)
+    assert "collect_set" not in got._jdf.queryExecution().optimizedPlan().toString()
