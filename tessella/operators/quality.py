@@ -55,6 +55,18 @@ def set_overlap(df: DataFrame, expected: str, actual: str) -> DataFrame:
     return df.withColumn("hits", F.size(F.array_intersect(e, a))).withColumn("misses", F.size(F.array_except(e, a))).withColumn("extras", F.size(F.array_except(a, e)))
 
 
+def listed_overlap(df: DataFrame, key: list[str], case: str, actual: str, expected: DataFrame, item: str) -> DataFrame:
+    """key, hits, misses and extras of an array column, as a set, against what its case expects, a table (case, item); only of cases that expect anything.
+
+    ``key`` tells rows apart. Each item is looked up by its case, so a row costs what it has, not what its case expects. A null of the array counts as nothing.
+    """
+    want = expected.select(case, item).distinct()
+    sizes = want.groupBy(case).agg(F.count(F.lit(1)).alias("__size"))
+    each = df.join(sizes, case).select(*key, case, "__size", F.explode_outer(F.array_distinct(actual)).alias(item))
+    found = each.join(want.withColumn("__hit", F.lit(True)), [case, item], "left").groupBy(*key, "__size").agg(F.count("__hit").alias("hits"), F.count(item).alias("__n"))
+    return found.select(*key, "hits", (F.col("__size") - F.col("hits")).alias("misses"), (F.col("__n") - F.col("hits")).alias("extras"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """only_a, only_b: how many rows, with repeats, either table has and the other lacks."""
     left = a.exceptAll(b).agg(F.count(F.lit(1)).alias("only_a"))

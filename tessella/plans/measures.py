@@ -64,8 +64,8 @@ def verdict_confusion(spark, d):
 
 def _evidence(spark, d):
     """Runs with the evidence of the case's candidates."""
-    best = table(spark, d, "retrieval_candidate").where("score >= 0.4 AND NOT isnan(score)").groupBy(F.col("question_id").alias("case_id")).agg(F.array_sort(F.collect_set("doc_id")).alias("expected"))
-    return Q.set_overlap(_runs(spark, d).join(best, "case_id"), "expected", "evidence_document_ids")
+    best = table(spark, d, "retrieval_candidate").where("score >= 0.4 AND NOT isnan(score)").select(F.col("question_id").alias("case_id"), "doc_id")
+    return Q.listed_overlap(_runs(spark, d), ["row_id", "arm"], "case_id", "evidence_document_ids", best, "doc_id")
 
 
 def case_metrics(spark, d):

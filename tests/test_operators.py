@@ -375,3 +375,14 @@ def test_citations_are_looked_up_one_by_one(spark, monkeypatch):
     got = plan.answer_faults(spark, "")
     assert rows(got) == sorted([("SUPPORTED", None, 1), ("SUPPORTED", "cites_what_it_lacks", 1), ("SUPPORTED", "says_nothing", 1), ("UNKNOWN", "cites_what_it_lacks", 1), ("UNKNOWN", None, 1), ("DISPUTED", None, 1)], key=repr)
     assert "collect_set" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_is_looked_up_one_by_one(spark, monkeypatch):
+    from tessella.plans import measures as plan
+
+    runs = [(1, "a", "X-1", [1, 2, 2, None]), (2, "a", "x_1", [1, 7]), (3, "b", "x_1", None), (4, "none", "x_1", [1]), (5, "b", None, [9])]
+    tables = {"causal_score_row": spark.createDataFrame([(*r, None, 1.0) for r in runs], "row_id bigint, case_id string, arm_id string, evidence_document_ids array<bigint>, loaded_at timestamp, latency_ms double"), "retrieval_candidate": spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.4), ("a", 2, 0.5), ("a", 7, 0.3), ("b", 9, 0.8), ("b", 8, float("nan"))], "question_id string, doc_id bigint, score double")}
+    monkeypatch.setattr(plan, "table", lambda s, d, name: tables[name])
+    got = plan.case_metrics(spark, "")
+    assert rows(got.select("arm", "runs", "recall", "precision", "with_extras")) == [("x_1", 3, 0.6, 0.75, 1), (None, 1, 1.0, 1.0, 0)]
+    assert "collect_set" not in got._jdf.queryExecution().optimizedPlan().toString()
