@@ -77,6 +77,35 @@ def test_the_cosine_join_is_that_of_all_pairs(spark, monkeypatch, hot):
     assert {(x["block"], x["a"], x["b"]) for x in names.near_texts(frame(left), frame(right), weights, 0.4).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [2048, 7])
+def test_names_are_compared_where_they_meet(spark, monkeypatch, hot):
+    """Each pair of one person or one family name that reaches the cosine comes out once, with all of its nodes."""
+    monkeypatch.setattr(names, "HOT", hot)
+    r = random.Random(11)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(40)]
+    slip = lambda w: w if len(w) < 3 else w[: (i := r.randrange(len(w)))] + r.choice(["", w[i] + "x", w[i + 1 : i + 2] + w[i], "x"]) + w[i + 1 + (r.random() < 0.3) :]
+    texts = sorted({f"{r.choice([f, slip(f)])} {r.choice([g, slip(g), slip(slip(g))])}".strip() for f, g in ((r.choice(words), r.choice(words)) for _ in range(300))} | {"alone", "x"})
+    nodes = [("b", t, t, None) for t in texts] + [("b", t, f"{t}|tim", "a \x1e\"role") for t in texts[::9]] + [("c", t, t, "") for t in texts[::3]]
+    df = spark.createDataFrame(nodes, "block string, text string, spelled string, hint string")
+    weights = spark.sparkContext.broadcast(names.gram_weights(df, "text"))
+    cosine, learned = names.Cosines(weights.value), people.FirstNames(set(), {(a, b) for a in words[::2] for b in words[1::2]})
+    apart = lambda t: (t.split(" "), [])
+    kin = lambda a, b: len(a.split()) == len(b.split()) == 2 and (a.split()[1] == b.split()[1] or people.same_person(apart(a), apart(b), learned) > 0)
+    near = {(p, x, y, g, h) for p, a, x, g in nodes for q, b, y, h in nodes if p == q and a < b and cosine(a, b) >= 0.35}
+    text = {x: t for _, t, x, _ in nodes}
+    got = [(x["block"], x["a_spelled"], x["b_spelled"], x["a_hint"], x["b_hint"]) for x in names.near_spellings(df, weights, 0.35).collect()]
+    want = {x for x in near if kin(text[x[1]], text[x[2]])}
+    assert len(want) > 100 and len(got) == len(set(got)) and want <= set(got) <= near
+
+
+def test_no_pair_is_shuffled_before_it_reaches_the_cosine(spark):
+    """Names of one first name meet, and end in their task: what is shuffled follows the names."""
+    df = spark.createDataFrame([("b", f"joost {c}{d}{e}vorhn", f"joost {c}{d}{e}vorhn", None) for c in "bdfgk" for d in "aeiou" for e in "lmnp"], "block string, text string, spelled string, hint string")
+    weights = spark.sparkContext.broadcast(names.gram_weights(df, "text"))
+    plan = names.near_spellings(df, weights, 0.35)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Aggregate" not in plan
+
+
 def test_forms_of_first_names_are_learned_and_relatives_told_apart(spark):
     people_ = [(f"fam{i}", f, "role" + str(i)) for i in range(4) for f in ("Timothy", "Tim")] + [(f"kin{i}", f, f"{f}s role") for i in range(4) for f in ("Marcus", "Marcos")] + [(f"one{i}", f, "r") for i in range(40) for f in ("Timothy", "Marcus", "Marcos")]
     df = spark.createDataFrame([(f"{i:03}", f"{f} {n}inger", "x", role) for i, (n, f, role) in enumerate(people_)], "k string, n string, o string, r string")

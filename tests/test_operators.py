@@ -293,6 +293,16 @@ def test_staged_tables_can_be_cleared(spark):
     assert not os.path.exists(path) and not staging._written
 
 
+def test_what_was_shuffled_for_a_staged_table_is_removed(spark):
+    from tessella import staging
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, conf = files(), spark.conf.get(staging._CLEANUP)
+    df = staging.stage(spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert not files() - before and spark.conf.get(staging._CLEANUP) == conf and df.count() == 7
+    staging.clear()
+
+
 def test_lines_come_from_all_ranked_documents(spark, monkeypatch):
     from tessella.plans import contexts as plan
     from tessella.plans import search
