@@ -9,6 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tessella import staging
 from tessella.llm import mojibake, neardup, packing, tokens
 
 V = tokens.Vocabulary(open(tokens.VOCABULARY, "rb").read())
@@ -223,6 +224,15 @@ def test_near_duplicates_of_nothing_and_of_copies(spark):
     assert links.count() == 0 and classes.count() == 0
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_duplicates_keep_no_table_that_was_read_for_the_last_time(spark, exact):
+    staging.clear()
+    df = spark.createDataFrame(list(enumerate(family(random.Random(8), 2, (0, 1, 1, 2, 2)))), "doc_id bigint, text string")
+    neardup.near_duplicates(df, "doc_id", "text", width=3, tenths=6, least_words=30, exact=exact)
+    assert {x.path.rpartition("/")[2].partition("-")[0] for x in staging._written} == {"candidates", "links", "classes"}
+    staging.clear()
+
+
 def test_a_sketch_may_fall_short_by_five_deviations(spark):
     """Of 72 agreements a pair at the threshold has 50.4 on average; one with 30 is still compared."""
 
