@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,19 +31,29 @@ def diverse_spans(spans: DataFrame, case: str, span: str, score: str, most: int,
     its best, as the ranking operators leave them.
     """
     kind = dict(spans.dtypes)[case]
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, left = [], budget
-        for r in pdf.sort_values([score, span], ascending=[False, True]).itertuples(index=False):
-            text = getattr(r, span)
-            own = set(text.lower().split())
-            near = any(len(own & o) >= overlap * max(1, min(len(own), len(o))) for _, o in kept)
-            if len(kept) < most and len(text) <= left and not near:
-                kept.append((text, own))
-                left -= len(text)
-        return pd.DataFrame({case: [pdf[case].iloc[0]] * len(kept), span: [t for t, _ in kept], "place": range(1, len(kept) + 1)})
-
-    return spans.where(F.col(span).isNotNull() & F.col(case).isNotNull()).select(case, span, score).groupBy(case).applyInPandas(choose, f"`{case}` {kind}, `{span}` string, place int")
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(score).isNull().alias("none"), (-F.col(score)).alias("score"), F.col(span).alias("span"))))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, texts, places = [], [], []
+            for i in range(len(b)):
+                kept, left = [], budget
+                for text in b.column(1)[i].values:
+                    if len(kept) == most:
+                        break
+                    text = text.as_py()
+                    own = set(text.lower().split())
+                    near = any(len(own & o) >= overlap * max(1, min(len(own), len(o))) for o in kept)
+                    if len(text) <= left and not near:
+                        kept.append(own)
+                        left -= len(text)
+                        rows.append(i)
+                        texts.append(text)
+                        places.append(len(kept))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.string()), pa.array(places, pa.int32())], names=[case, span, "place"])
+
+    lists = spans.where(F.col(span).isNotNull() & F.col(case).isNotNull()).groupBy(case).agg(ordered.alias("__spans"))
+    return lists.select(case, F.col("__spans")["span"].alias("__spans")).mapInArrow(choose, f"`{case}` {kind}, `{span}` string, place int")
 
 
 #: Wordings that speak for or against the version that states them, with their weight.

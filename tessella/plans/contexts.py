@@ -13,6 +13,9 @@ from tessella.staging import stage
 _TERMS = (("owner_team", "OWNED_BY", "service", "team"), ("approver", "APPROVED_BY", "service", "person"), ("region", "LOCATED_IN", "service", "place"), ("burst_limit", "HAS_LIMIT", "service", "number"), ("retention_days", "HAS_LIMIT", "service", "number"), ("service_tier", "HAS_TIER", "service", "tier"))
 _RULES = (("owner_team", "OWNED_BY", "service", "team"), ("approver", "APPROVED_BY", "service", "team"), ("region", "LOCATED_IN", "team", "place"), ("burst_limit", "HAS_LIMIT", "service", "number"), ("service_tier", "TIER", "service", "tier"))
 
+#: Lines of a document, in their order, that a question looks at first.
+_HEAD = 16
+
 
 def _small(spark, rows, columns):
     return F.broadcast(spark.createDataFrame(list(rows), columns))
@@ -59,24 +62,28 @@ def matched_removal(spark, d):
 def diverse_segments(spark, d):
     """Three different lines of each listed question's best documents, all those that ``title_hits`` ranks.
 
-    Lines are chosen by falling score, so three that the documents of the best score give are final; only questions that
-    these leave short are worked through with all their documents.
+    Lines are chosen by falling score and then in their own order, so three that the first lines of the documents of the best score
+    give are final where all lines left out come after them; only questions that these leave open are worked through with all
+    lines of all their documents.
     """
     from tessella.plans.search import title_hits
 
     most, budget = 3, 900
     hits = stage(title_hits(spark, d).select("question_id", "doc_id", "score"), "hits")
     line = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: (F.trim(x) != "") & (F.length(x) <= budget))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array_sort(F.array_distinct(line)).alias("lines"))
 
-    def chosen(top):
-        docs = table(spark, d, "documents").join(top.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array_distinct(line).alias("lines"))
-        return X.diverse_spans(top.join(docs, "doc_id").select("question_id", "score", F.explode("lines").alias("segment")), "question_id", "segment", "score", most, budget)
+    def chosen(found):
+        return X.diverse_spans(found.select("question_id", "score", F.explode("lines").alias("segment")), "question_id", "segment", "score", most, budget)
 
     best = hits.groupBy("question_id").agg(F.max("score").alias("score"))
-    first = stage(chosen(hits.join(best, ["question_id", "score"], "left_semi")), "first")
-    full = first.where(F.col("place") == most).select("question_id")
-    rest = chosen(hits.join(full, "question_id", "left_anti"))
-    return first.join(full, "question_id", "left_semi").unionByName(rest)
+    heads = docs.select("doc_id", F.slice("lines", 1, _HEAD).alias("lines"), F.when(F.size("lines") > _HEAD, F.col("lines")[_HEAD - 1]).alias("cut"))
+    short = stage(hits.join(best, ["question_id", "score"], "left_semi").join(heads, "doc_id"), "heads")
+    cuts = short.groupBy("question_id").agg(F.min("cut").alias("cut"))
+    first = stage(chosen(short).join(cuts, "question_id"), "first")
+    full = first.where((F.col("place") == most) & (F.col("cut").isNull() | (F.col("segment") <= F.col("cut")))).select("question_id")
+    rest = chosen(hits.join(full, "question_id", "left_anti").join(docs, "doc_id"))
+    return first.join(full, "question_id", "left_semi").drop("cut").unionByName(rest)
 
 
 def wording_precedence(spark, d):

@@ -316,6 +316,27 @@ def test_lines_come_from_all_ranked_documents(spark, monkeypatch):
     assert rows(plan.diverse_segments(spark, "").select("question_id", "place", "segment")) == [("p", 1, same), ("p", 2, "four five"), ("q", 1, "a"), ("q", 2, "b"), ("q", 3, "c"), ("r", 1, "four five"), ("r", 2, "late"), ("r", 3, "a")]
 
 
+def test_lines_beyond_a_document_s_first_ones_count(spark, monkeypatch):
+    """Three lines of the first ones are final only if all lines that were left out come after them."""
+    from tessella.plans import contexts as plan
+    from tessella.plans import search
+
+    alike = [f"m one two three four five {i:02}" for i in range(plan._HEAD + 4)]
+    texts = ["\n".join([*alike, "n", "o", "p"]), "a\nz\nzz", "\n".join([*alike[::-1], "b"]), "k", "\n".join(f"c{i:02}" for i in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    hits = [("p", 0, 5.0), ("q", 0, 5.0), ("q", 1, 5.0), ("r", 2, 5.0), ("r", 3, 4.0), ("s", 4, 5.0), ("s", 3, 1.0)]
+    monkeypatch.setattr(search, "title_hits", lambda s, d: spark.createDataFrame(hits, "question_id string, doc_id bigint, score double"))
+    monkeypatch.setattr(plan, "table", lambda s, d, name: docs)
+    want = {"p": [alike[0], "n", "o"], "q": ["a", alike[0], "n"], "r": ["b", alike[0], "k"], "s": ["c00", "c01", "c02"]}
+    assert rows(plan.diverse_segments(spark, "").select("question_id", "place", "segment")) == [(q, i + 1, x) for q, own in want.items() for i, x in enumerate(own)]
+
+
+def test_no_line_is_read_once_a_case_has_its_spans(spark):
+    df = spark.createDataFrame([("c", f"w{i:03}", None if i == 0 else float("nan") if i == 1 else 1.0) for i in range(50)], "q string, s string, w double")
+    assert [r["s"] for r in contexts.diverse_spans(df, "q", "s", "w", 49, 900).orderBy("place").collect()] == [f"w{i:03}" for i in [*range(2, 50), 1]]
+    assert "FlatMapGroups" not in contexts.diverse_spans(df, "q", "s", "w", 3, 900)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def _texts(spark, n=700):
     import random
 
