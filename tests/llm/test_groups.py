@@ -2,10 +2,13 @@
 
 import math
 import random
+from datetime import datetime, timedelta, timezone
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from tessella.llm import grouping, quantiles, survivors, topn
 
 
@@ -107,6 +110,32 @@ def test_percentiles_of_one_value_and_of_none(spark):
     assert rows(quantiles.percentiles(quantiles.bucket_counts(one.where("false"), ["k"], "x"), ["k"])) == []
 
 
+def test_percentile_query_counts_every_run_and_has_a_row_a_key(spark, tmp_path):
+    r = random.Random(4)
+    first = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    runs = [(i, r.choice([" A", "a", "b-c", "B_C", None]), r.randrange(3), r.choice([1, -1]) * 10 ** r.uniform(-2, 5), 0) for i in range(400)]
+    runs += [(i, arm, day, x, 1) for (i, arm, day, _, _), x in zip(runs[:60], [None, math.nan, math.inf, 0.0, 7.0] * 12, strict=True)]
+
+    def found(name, copies, days):
+        """The grains' numbers of rows and sums of n, for copies of the runs with ids and days moved on; equal to the SQL's rows."""
+        d = tmp_path / name
+        data = [(c * 400 + i, arm, (first + timedelta(day + c * days)).date(), x, first + timedelta(at)) for c in range(copies) for i, arm, day, x, at in runs]
+        spark.createDataFrame(data, "row_id bigint, arm_id string, run_day date, latency_ms double, loaded_at timestamp").write.parquet(str(d / "causal_score_row.parquet"))
+        df = quantiles.p5_percentiles(spark, str(d))
+        db = duckdb.connect()
+        db.execute(f"SET TimeZone = 'UTC'; CREATE VIEW causal_score_row AS SELECT * FROM '{d}/causal_score_row.parquet/*.parquet'")
+        sql = db.execute(quantiles.SQL["p5_percentiles"])
+        ours = df.collect()
+        assert oracle.rows(df.columns, ours) == oracle.rows([c[0] for c in sql.description], sql.fetchall())
+        of = lambda grain: [row["n"] for row in ours if row["grain"] == grain]
+        return {grain: (len(of(grain)), sum(of(grain))) for grain in ("arm_day", "arm", "day", "all")}
+
+    # 36 of the 400 have no number in the load that counts
+    assert found("once", 1, 0) == {"arm_day": (9, 364), "arm": (3, 364), "day": (3, 364), "all": (1, 364)}
+    assert found("more_runs", 10, 0) == {"arm_day": (9, 3640), "arm": (3, 3640), "day": (3, 3640), "all": (1, 3640)}
+    assert found("more_days", 10, 3) == {"arm_day": (90, 3640), "arm": (3, 3640), "day": (30, 3640), "all": (1, 3640)}
+
+
 def test_best_of_group_and_of_fields(spark):
     df = spark.createDataFrame([("g", 1, "n/a", 3), ("g", 2, "x", None), ("g", 3, "y", 5), (None, 4, " ", 1), ("h", 5, None, None)], "g string, id int, v string, n int")
     assert [r["id"] for r in survivors.best_of_group(df, ["g"], [F.col("n").desc_nulls_last(), F.col("id")]).orderBy("id").collect()] == [3, 4, 5]
